@@ -28,12 +28,9 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "tar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "tarnsearch-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return folder or "file://" + os.path.join(tempfile.gettempdir(), "tarnsearch-checkpoints")
 
 
 def materialise(df: DataFrame, eager: bool = True) -> DataFrame:
