@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tarnsearch.functions.text import FOLD_FROM, FOLD_TO
-from tarnsearch.llm import frequency, neardup, ranking, sitelines
-from tarnsearch.session import table
+from tarnsearch.llm import frequency, mainbody, mixing, neardup, packing, quality, ranking, residue, sitelines, spam
+from tarnsearch.session import table, write_shared
 
 #: doc_id and page_id are unique in the test tables.
 UNIQUE = {"unique_ids": True}
@@ -20,6 +22,27 @@ def p1_clean(spark, d):
     return sitelines.remove_repeated_lines(table(spark, d, "crawled_document"), **UNIQUE)
 
 
+def _pages(spark, d):
+    """The texts of problem 2: pages that are cases of problem 4 or 5 are left out."""
+    pages = table(spark, d, "extracted_page")
+    bad = residue.residue_pages(pages, **UNIQUE).select("page_id").unionByName(spam.spam_pages(pages, **UNIQUE).select("page_id"))
+    return pages.join(write_shared(bad, "left-out"), "page_id", "left_anti"), table(spark, d, "crawled_document")
+
+
+def p2_found(spark, d):
+    pages, docs = _pages(spark, d)
+    a = mainbody.surrounding_lines(pages, "page_id").select(F.lit("extracted_page").alias("origin"), "rec_id", "line_no")
+    b = mainbody.surrounding_lines(docs, "doc_id", text_col="body").select(F.lit("crawled_document").alias("origin"), "rec_id", "line_no")
+    return a.unionByName(b)
+
+
+def p2_main(spark, d):
+    """Every text with its main lines only."""
+    a = mainbody.main_texts(table(spark, d, "extracted_page"), "page_id").select(F.lit("extracted_page").alias("origin"), "rec_id", "main_text")
+    b = mainbody.main_texts(table(spark, d, "crawled_document"), "doc_id", text_col="body").select(F.lit("crawled_document").alias("origin"), "rec_id", "main_text")
+    return a.unionByName(b)
+
+
 def p3_found(spark, d):
     return frequency.term_frequencies(table(spark, d, "crawled_document"), **UNIQUE).where("mark is not null").select("term", "mark")
 
@@ -28,6 +51,19 @@ def p3_frequency(spark, d):
     return frequency.frequencies_with_reports(table(spark, d, "crawled_document"), table(spark, d, "shard_term_stats"), **UNIQUE)
 
 
+def p4_found(spark, d):
+    return residue.residue_pages(table(spark, d, "extracted_page"), **UNIQUE).select("page_id")
+
+
+def p4_clean(spark, d):
+    """The records without the pages found."""
+    return residue.without_residue(table(spark, d, "extracted_page"), **UNIQUE)
+
+
+def p5_found(spark, d):
+    return spam.spam_pages(table(spark, d, "extracted_page"), **UNIQUE).select("page_id")
+
+
 #: The similarity that TESTDATA fixes for problem 6.
 TRIPLES = {"width": 3, "similarity": 0.5}
 
@@ -50,8 +86,39 @@ def p7_ranking(spark, d):
     return ranking.full_order(ranking.combined_hits(table(spark, d, "hit"), table(spark, d, "stored_doc")), "qid", "doc_id")
 
 
+def p8_packed(spark, d):
+    return packing.packed(table(spark, d, "documents"), table(spark, d, "container_spec"), **UNIQUE)
+
+
+def p8_fill(spark, d):
+    """How full the containers are."""
+    return packing.fill_report(p8_packed(spark, d), table(spark, d, "container_spec"))
+
+
+def p9_mixture(spark, d):
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "source_target"), **UNIQUE)
+
+
+def p9_uses(spark, d):
+    """How often each document is used."""
+    return mixing.document_uses(p9_mixture(spark, d))
+
+
+def p9_shares(spark, d):
+    """The share each source got."""
+    return mixing.share_report(p9_mixture(spark, d), table(spark, d, "source_target"))
+
+
+def p10_found(spark, d):
+    return p10_statistics(spark, d).where("not is_prose").select("doc_id")
+
+
+def p10_statistics(spark, d):
+    return quality.judged(table(spark, d, "documents"), table(spark, d, "common_word"), **UNIQUE)
+
+
 def queries():
-    return {n: f for n, f in globals().items() if n[:1] == "p" and n[1:2].isdigit()}
+    return {n: f for n, f in globals().items() if re.fullmatch(r"p\d+_\w+", n)}
 
 
 _SITE = r"regexp_replace(lower(regexp_extract(uri, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\.$', '')"
