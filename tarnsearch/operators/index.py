@@ -52,7 +52,7 @@ def term_statistics(token_rows: DataFrame) -> DataFrame:
 def corpus_statistics(fielded: DataFrame) -> DataFrame:
     """One row: total_docs, total_length, average_length."""
     n, total = F.count("*"), F.coalesce(F.sum("length"), F.lit(0)).cast("long")
-    return fielded.agg(n.alias("total_docs"), total.alias("total_length"), F.coalesce(total / n, F.lit(0.0)).alias("average_length"))
+    return fielded.agg(n.alias("total_docs"), total.alias("total_length"), F.coalesce(F.try_divide(total.cast("double"), n), F.lit(0.0)).alias("average_length"))
 
 
 def latest_shard_statistics(reports: DataFrame) -> DataFrame:
