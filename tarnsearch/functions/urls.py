@@ -11,6 +11,11 @@ TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*):(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; nested expressions stay small."""
+    return F.try_element_at(F.transform(F.array(value), body), F.lit(1))
+
+
 def _part(url: Column, n: int) -> Column:
     return F.regexp_extract(url, _PARTS, n)
 
@@ -53,21 +58,27 @@ def encode_path(path: Column) -> Column:
 
 def canonical(url: Column) -> Column:
     """Canonical form of an absolute URL: http(s) only, no fragment, no default port, no trailing host dot, no tracking."""
-    url = F.trim(url)
+    return _let(F.trim(url), _canonical)
+
+
+def _canonical(url: Column) -> Column:
     scheme = F.lower(_part(url, 1))
     authority = F.regexp_replace(F.lower(_part(url, 2)), r"^[^@]*@", "")
     host = F.regexp_replace(F.regexp_replace(authority, r":\d*$", ""), r"\.$", "")
     port = F.regexp_extract(authority, r":(\d+)$", 1)
     default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | (port == "")
-    path = encode_path(remove_dots(_part(url, 3)))
-    query = clean_query(_part(url, 4))
-    whole = F.concat(scheme, F.lit("://"), host, F.when(default, "").otherwise(F.concat(F.lit(":"), port)), path, F.when(query.isNotNull(), F.concat(F.lit("?"), query)).otherwise(""))
+    path = _let(remove_dots(_part(url, 3)), encode_path)
+    query = F.coalesce(_let(clean_query(_part(url, 4)), lambda q: F.concat(F.lit("?"), q)), F.lit(""))
+    whole = F.concat(scheme, F.lit("://"), host, F.when(default, "").otherwise(F.concat(F.lit(":"), port)), path, query)
     return F.when(scheme.isin("http", "https") & (host != ""), whole)
 
 
 def resolve(base: Column, href: Column) -> Column:
     """Absolute canonical form of ``href`` found on the page ``base``; null for fragments, other schemes and malformed links."""
-    href, base = F.trim(href), F.trim(base)
+    return _let(F.struct(F.trim(href).alias("href"), F.trim(base).alias("base")), lambda x: _resolve(x["base"], x["href"]))
+
+
+def _resolve(base: Column, href: Column) -> Column:
     scheme, authority, path, query = (_part(base, n) for n in (1, 2, 3, 4))
     origin = F.concat(scheme, F.lit("://"), authority)
     folder = F.regexp_extract(F.when(path == "", "/").otherwise(path), r"^(.*/)", 1)

@@ -90,8 +90,8 @@ class Crawl:
         outcome = F.when(~F.col("allowed"), "disallowed").when(F.col("_url").isNull(), "errors").when(F.coalesce("noindex", F.lit(False)), "skipped").otherwise("indexed")
         order = Window.orderBy("depth", "seq")  # at most the page budget
         rows = fetched.withColumn("outcome", outcome).withColumn("_n", F.row_number().over(order) + F.lit(p.spooled) - 1)
-        base = F.coalesce(F.when(F.col("base") != "", resolve(F.col("url"), F.col("base"))), F.col("url"))
-        links = F.when((F.col("outcome") == "indexed") & ~F.coalesce("nofollow", F.lit(False)), F.transform("links", lambda x: F.struct(resolve(base, x["href"]).alias("url"), x["text"].alias("text"))))
+        rows = rows.withColumn("_base", F.coalesce(F.when(F.col("base") != "", resolve(F.col("url"), F.col("base"))), F.col("url")))
+        links = F.when((F.col("outcome") == "indexed") & ~F.coalesce("nofollow", F.lit(False)), F.transform("links", lambda x: F.struct(resolve(F.col("_base"), x["href"]).alias("url"), x["text"].alias("text"))))
         rows = rows.withColumn("_links", F.filter(F.coalesce(links, F.array().cast("array<struct<url:string,text:string>>")), lambda x: x["url"].isNotNull()))
         spool = self._save(rows.select(F.col("_n").cast("long").alias("seq"), F.col("seq").alias("doc_id"), F.col("url").alias("uri"), "title", F.col("text").alias("body"), F.col("_links.url").alias("links"), F.coalesce("noindex", F.lit(False)).alias("noindex"), "outcome", "depth", F.col("_links").alias("found")), "spool", n)
         found = spool.select(F.col("seq").alias("parent"), "depth", F.posexplode("found").alias("i", "l")).select(F.col("l.url").alias("url"), (F.col("depth") + 1).alias("depth"), (F.col("parent") * 1_000_000 + F.col("i")).alias("seq"), F.col("l.text").alias("text"))
