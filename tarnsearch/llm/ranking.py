@@ -49,15 +49,15 @@ def grouped_ranks(df: DataFrame, group: list[str], value: str, rows_per_task: in
 def first_component(ranks: DataFrame, columns: list[str], directions: list[int]) -> tuple[list[float], list[float], list[float]]:
     """Means, deviations and oriented loadings; the matrix is one aggregate row, constant columns load 0."""
     aggs = [F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)] + [F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]
-    aggs += [F.corr(columns[i], columns[j]).alias(f"c{i}_{j}") for i in range(len(columns)) for j in range(i)]
+    aggs += [F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i in range(len(columns)) for j in range(i)]
     row = ranks.agg(*aggs).first().asDict()
     k = len(columns)
+    sd = [row[f"s{i}"] or 0.0 for i in range(k)]
     matrix = np.eye(k)
     for i in range(k):
         for j in range(i):
-            c = row[f"c{i}_{j}"]
-            matrix[i, j] = matrix[j, i] = 0.0 if c is None or np.isnan(c) else c
-    sd = [row[f"s{i}"] or 0.0 for i in range(k)]
+            if sd[i] > 1e-12 and sd[j] > 1e-12:
+                matrix[i, j] = matrix[j, i] = row[f"c{i}_{j}"] / (sd[i] * sd[j])
     _, vectors = np.linalg.eigh(matrix)
     v = vectors[:, -1] * [1.0 if s > 1e-12 else 0.0 for s in sd]
     if not v.any():

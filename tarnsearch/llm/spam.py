@@ -8,6 +8,9 @@ them.  Pages of one repeated sentence are marked by redundancy alone.
 
 Error messages and template residue are problem 4's and count as sentences here.
 
+No prose compresses to a fifth, so below ``absolute`` a page counts as redundant even where spam
+makes up most of its length class.
+
 Null and short texts (under ``min_words`` words of content) are never marked.  Repeated ids count once
 with ``unique_ids=False``; empty tables give no rows; extra columns are ignored.
 """
@@ -75,17 +78,17 @@ def _measures(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["page_id", "words", "lang", "ratio", "sentences", "functional", "bits"])
 
 
-def spam_pages(pages: DataFrame, id_col="page_id", text_col="text", *, min_words=20, extreme=5.0, low_sentences=0.3, deep=0.3, unique_ids=False) -> DataFrame:
+def spam_pages(pages: DataFrame, id_col="page_id", text_col="text", *, min_words=20, extreme=5.0, low_sentences=0.3, deep=0.3, absolute=0.2, unique_ids=False) -> DataFrame:
     """(page_id, ratio, deviation, sentences) of the pages found."""
     texts = one_row_per_id(pages, id_col, unique_ids).select(F.col(id_col).cast("long"), F.col(text_col)).where(F.col(text_col).isNotNull())
     seen = write_shared(texts.mapInArrow(_measures, "page_id long, words int, lang string, ratio double, sentences double, functional double, bits double"), "page-measures").withColumn("bucket", F.least(F.lit(24), F.round(F.col("bits") * 2)).cast("int"))
     whole = seen.where(F.col("sentences") >= 0.5)
     usual = whole.groupBy("lang", "bucket").agg(F.percentile_approx("ratio", 0.5, 10_000).alias("median"), F.percentile_approx("ratio", 0.25, 10_000).alias("quarter"), F.count("*").alias("n"))
-    overall = whole.groupBy("bucket").agg(F.percentile_approx("ratio", 0.5, 10_000).alias("median_all"), F.percentile_approx("ratio", 0.25, 10_000).alias("quarter_all"))
+    overall = whole.groupBy("bucket").agg(F.percentile_approx("ratio", 0.5, 10_000).alias("median_all"), F.percentile_approx("ratio", 0.25, 10_000).alias("quarter_all"), F.count("*").alias("n"))
     # at most five languages by 49 lengths
-    both = seen.join(F.broadcast(usual.where("n >= 20")), ["lang", "bucket"], "left").join(F.broadcast(overall), "bucket", "left")
+    both = seen.join(F.broadcast(usual.where("n >= 20").drop("n")), ["lang", "bucket"], "left").join(F.broadcast(overall.where("n >= 20").drop("n")), "bucket", "left")
     middle, quarter = F.coalesce("median", "median_all", F.lit(0.55)), F.coalesce("quarter", "quarter_all", F.lit(0.52))
     deviation = (F.col("ratio") - middle) / F.greatest(F.lit(0.01), middle - quarter)
-    redundant = (deviation <= -extreme) & (F.col("ratio") <= deep)
+    redundant = (deviation <= -extreme) & (F.col("ratio") <= deep) | (F.col("ratio") <= absolute)
     found = (F.col("words") >= min_words) & (redundant | (F.col("sentences") < low_sentences))
     return both.where(found).select("page_id", "ratio", deviation.alias("deviation"), "sentences")
