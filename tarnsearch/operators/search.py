@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tarnsearch.operators import index
 from tarnsearch.operators.query import parse, query_table
 from tarnsearch.operators.scoring import Params, authority, idf, length_norm, saturation
+from tarnsearch.session import write_shared
 
 #: Query terms up to which the term filter is broadcast (rows of a term and two numbers).
 BROADCAST_TERMS = 500_000
@@ -60,8 +61,10 @@ def scored(docs: DataFrame, queries: DataFrame, params: Params = Params(), ranks
     fielded = index.with_terms(docs)
     total, average = statistics(docs.sparkSession, fielded) if stats is None else stats[:2]
     vocabulary, n_terms = _vocabulary(queries)
-    rows = index.tokens(fielded, "length").join(_side(vocabulary, n_terms), "term", "left_semi")
-    per_doc = index.weighted(rows, "length")
+    all_rows = index.tokens(fielded, "length")
+    # used for frequencies, scores and exclusions; without this every use would split the texts again
+    per_doc = write_shared(index.weighted(all_rows.join(_side(vocabulary, n_terms), "term", "left_semi"), "length"), "query-postings")
+    rows = all_rows.join(_side(phrase_words(queries).select("term").distinct(), n_terms), "term", "left_semi")
     freqs = per_doc.groupBy("term").agg(F.count("*").alias("df")) if stats is None else stats[2]
     return score_matches(per_doc, rows, queries, total, average, freqs, n_terms, params, ranks)
 
