@@ -6,7 +6,7 @@ documents is needed for scoring.  Phrases are found by an equi-join on the start
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnsearch.operators import index
@@ -24,8 +24,9 @@ def _side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_TERMS else df
 
 
-def statistics(spark: SparkSession, fielded: DataFrame) -> tuple[int, float]:
-    row = index.corpus_statistics(fielded).first()
+def statistics(docs: DataFrame) -> tuple[int, float]:
+    """Documents and their average length."""
+    row = index.corpus_statistics(index.lengths(docs)).first()
     return row["total_docs"], row["average_length"]
 
 
@@ -59,7 +60,7 @@ def scored(docs: DataFrame, queries: DataFrame, params: Params = Params(), ranks
     """
     params.checked()
     fielded = index.with_terms(docs)
-    total, average = statistics(docs.sparkSession, fielded) if stats is None else stats[:2]
+    total, average = statistics(docs) if stats is None else stats[:2]
     vocabulary, n_terms = _vocabulary(queries)
     all_rows = index.tokens(fielded, "length")
     # used for frequencies, scores and exclusions; without this every use would split the texts again
@@ -150,7 +151,7 @@ def sharded_search(docs: DataFrame, queries: DataFrame, shards: int, k: int = 10
     fielded = index.with_terms(docs)
     stats = None
     if not local:
-        total, average = statistics(docs.sparkSession, fielded)
+        total, average = statistics(docs)
         terms_of = query_terms(queries).select("term").distinct()
         df = index.tokens(fielded).join(F.broadcast(terms_of) if terms_of.count() <= BROADCAST_TERMS else terms_of, "term", "left_semi").select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
         stats = (total, average, df)

@@ -55,11 +55,11 @@ def vocabulary(spark, d):
 
 
 def doc_lengths(spark, d):
-    return _fielded(spark, d).select("doc_id", "length")
+    return index.lengths(_docs(spark, d))
 
 
 def corpus_stats(spark, d):
-    return index.corpus_statistics(_fielded(spark, d)).withColumn("average_length", F.round("average_length", 6))
+    return index.corpus_statistics(index.lengths(_docs(spark, d))).withColumn("average_length", F.round("average_length", 6))
 
 
 def postings_positions(spark, d):

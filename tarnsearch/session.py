@@ -33,17 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder or "file://" + os.path.join(tempfile.gettempdir(), "tarnsearch-checkpoints")
 
 
-def materialise(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage through a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager)
-
-
 def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back (columnar, compressed, prunable)."""
+    """Cut lineage: write ``df`` as Parquet below the shared folder and read it back (columnar, compressed, prunable).
+
+    The files survive the loss of executors.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
