@@ -55,7 +55,7 @@ def weak_label():
     """1 for structural junk, 0 for prose, null where the rules don't say."""
     c = F.col
     prose = (c("common_word_share") >= 0.15) & (c("function_word_share") >= 0.25) & (c("label_line_share") < 0.5) & (c("letter_ratio") >= 0.85) & (c("distinct_common_words") >= 3) & (c("garbled_share") < 0.005) & (c("distinct_word_share") > 0.02)
-    junk = (c("common_word_share") < 0.05) | (c("label_line_share") > 0.7) | (c("garbled_share") > 0.03) | (c("letter_ratio") < 0.5) | (c("top_word_share") > 0.3) & (c("word_count") >= 20)
+    junk = (c("common_word_share") < 0.05) & (c("function_word_share") < 0.2) | (c("label_line_share") > 0.7) | (c("garbled_share") > 0.03) | (c("letter_ratio") < 0.5) | (c("top_word_share") > 0.3) & (c("word_count") >= 20)
     return F.when(c("word_count") < 6, None).when(junk, 1.0).when(prose, 0.0)
 
 
@@ -89,15 +89,17 @@ def fitted(stats: DataFrame, common: dict[str, frozenset], fit_rows: int, rounds
     if len(sizes) < 2:
         return vectors, None, (1.0, 0.0)
     # half of the sample from each class where there is enough
-    parts = [labelled.where(F.col("label") == y).sample(False, min(1.0, fit_rows / 2 / n), seed) for y, n in sorted(sizes.items())]
+    # drawn by hash, so the same rows are fitted however the table is partitioned
+    place = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) / 1e6
+    parts = [labelled.where((F.col("label") == y) & (place < min(1.0, fit_rows / 2 / n))) for y, n in sorted(sizes.items())]
     sample = write_shared(parts[0].unionByName(parts[1]).coalesce(2), "fit-sample")
-    model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=depth, maxBins=64, stepSize=0.2, seed=seed).fit(vectors.transform(sample))
+    model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=depth, maxBins=64, minInstancesPerNode=8, stepSize=0.2, seed=seed).fit(vectors.transform(sample))
     held = spark.createDataFrame([(int(y), *statistics(t, common)) for y, t in HOLDOUT], "label int, " + ", ".join(f"{f} double" for f in FEATURES))
     scored = model.transform(vectors.transform(held)).select("label", "rawPrediction").collect()
     return vectors, model, platt([r["rawPrediction"][1] for r in scored], [r["label"] for r in scored])
 
 
-def judged(docs: DataFrame, words: DataFrame, id_col="doc_id", text_col="text", *, fit_rows=4000, rounds=12, depth=3, seed=5, unique_ids=False) -> DataFrame:
+def judged(docs: DataFrame, words: DataFrame, id_col="doc_id", text_col="text", *, fit_rows=12_000, rounds=16, depth=3, seed=5, unique_ids=False) -> DataFrame:
     """(doc_id, word_count, mean_word_length, symbol_ratio, sentence_line_share, common_word_share, junk_probability, is_prose) of every row."""
     from pyspark.ml.functions import vector_to_array
 
