@@ -8,7 +8,6 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tarnsearch.functions.text import py_terms
 from tarnsearch.llm import frequency, mainbody, mixing, neardup, packing, quality, ranking, residue, sitelines, spam, tokens
