@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x00000100000001B3
 MIX_A, MIX_B = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
 JUMP = 2862933555777941757
-_MASK = (1 << 64) - 1
 
 
 def hash_urls(urls: list[str | None]) -> np.ndarray:

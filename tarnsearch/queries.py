@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnsearch.functions import html, routing, urls
 from tarnsearch.functions.entities import decode_entities
-from tarnsearch.functions.text import fold, host, terms
+from tarnsearch.functions.text import fold, host
 from tarnsearch.operators import evaluate, frontier, graph, index, politeness, query, robots, sampling, scoring, search, snippet
 from tarnsearch.operators.scoring import Params
 from tarnsearch.session import shared_dir, table
@@ -327,5 +327,5 @@ def stream_equals_batch(spark, d):
 
 
 def queries():
-    skip = {"table", "shared_dir", "host", "fold", "terms", "decode_entities", "queries"}
+    skip = {"queries"}
     return {n: f for n, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n not in skip}
