@@ -1,11 +1,14 @@
 """Problem 2: main text of a page against its surroundings.
 
-A page text is read as a tree: page, containers (runs of lines between blank lines and lines that are
-surroundings by their own words), lines.  Every paragraph passes points for length and commas, times one
-less its link density, to its container and half of them to the page; surroundings take points away.
-The container with the most points and the siblings that are near it in score, or lie between kept ones,
-are the main text.  Link density comes from the page's link texts and from titles that match the last
-part of a linked address.  Titles below a pointer ("you may also like") belong to the pointer.
+Lines that are surroundings by their own words, and titles that the page links to, are told first (lines.py
+and the link list); they do most of the work.  What is left is read as a tree: page, sections (between such
+lines), containers (between blank lines), lines.  Every paragraph passes points for length and commas, times
+one less its link density, to its container and half of them to the other containers of its section.  Main
+text are the container with the most points, those near it in score, those with points of their own that are
+not mostly links (a closing paragraph is often far shorter than the best one), and what lies between kept
+ones; a container that is mostly links needs a kept one in its section for that.  Link density comes from the
+page's link texts and from titles that match the last part of a linked address.  Titles below a pointer
+("you may also like") belong to the pointer.
 
 A null text gives no lines; an empty list of links counts as none.  Rows are handled one by one, so
 repeated rows give repeated results; blank lines are numbered and never reported.
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tarnsearch.llm.lines import SURROUNDINGS, Kinds, clean
 
+_WORDS = re.compile(r"\w+")
 _SLUG = re.compile(r"[^a-z0-9]+")
 _TAIL = re.compile(r"/([^/?#]+)/?(?:[?#].*)?$")
 _PLAIN = str.maketrans("àáâäèéêëìíîïòóôöùúûüñç", "aaaaeeeeiiiioooouuuunc")
@@ -31,10 +35,11 @@ def _slug(text: str) -> str:
 
 
 class PageTree:
-    """Scores one page after another; ``paragraph`` is the number of words from which an unpunctuated line counts as one."""
+    """Scores one page after another; ``paragraph`` is the number of words from which an unpunctuated line counts as one,
+    ``linked`` the link density from which a container is mostly links."""
 
-    def __init__(self, paragraph: int = 14, near: float = 0.2):
-        self.kinds, self.paragraph, self.near = Kinds(), paragraph, near
+    def __init__(self, paragraph: int = 14, near: float = 0.2, linked: float = 0.8):
+        self.kinds, self.paragraph, self.near, self.linked = Kinds(), paragraph, near, linked
 
     def surroundings(self, text: str, title: str | None, link_texts: list[str], hrefs: list[str]) -> list[int]:
         """Numbers of the non-blank lines that are not main text."""
@@ -42,6 +47,7 @@ class PageTree:
         kinds = [self.kinds(x) if x else "" for x in lines]
         head = clean(title or "").lower()
         linked = {clean(t).lower() for t in link_texts if t} - {head, ""}
+        phrases = _phrases(linked)
         tails = None
         dropped: set[int] = set()
         after_pointer = False
@@ -54,53 +60,101 @@ class PageTree:
                 after_pointer = k == "pointer"
                 continue
             low = line.lower()
-            if after_pointer and k == "short" and low != head and len(line) < 140 or k == "short" and low != head and low in linked:
-                density[i] = 1.0
-                dropped.add(i)
-                continue
-            if k == "short" and low != head and hrefs and 3 <= line.count(" ") + 1 <= 14:
-                if tails is None:
-                    tails = [m[1].lower() for m in map(_TAIL.search, hrefs) if m]
-                s = _slug(line)
-                if len(s) > 12 and any(t.startswith(s[:30]) or len(t) > 16 and s.startswith(re.sub(r"-\d+$", "", t)) for t in tails) and low != head and not _is_heading(lines, kinds, i):
-                    density[i] = 1.0
+            if low != head:
+                if k == "short" and (after_pointer and len(line) < 140 or low in linked):
+                    dropped.add(i)
+                    continue
+                if phrases:
+                    density[i] = _covered(_WORDS.findall(low), phrases)
+                if hrefs and (k == "short" or density[i] < 1) and 3 <= line.count(" ") + 1 <= 14:
+                    if tails is None:
+                        tails = [m[1].lower() for m in map(_TAIL.search, hrefs) if m]
+                    if _addressed(_slug(line), tails):
+                        density[i] = 1.0
+                        if k == "short" and not _is_heading(lines, kinds, i):
+                            dropped.add(i)
+                            continue
+                if after_pointer and density[i] == 1:
                     dropped.add(i)
                     continue
             after_pointer = False
-        # containers between blank lines and surroundings
+        # containers between blank lines, in sections between surroundings
         containers: list[list[int]] = []
+        sections: list[int] = []
         run: list[int] = []
-        for i, k in enumerate(kinds):
-            if not k or i in dropped:
-                if run:
-                    containers.append(run)
-                run = []
-            else:
+        section = 0
+        for i, k in enumerate([*kinds, ""]):
+            if k and i not in dropped:
                 run.append(i)
-        if run:
-            containers.append(run)
-        scores = []
+                continue
+            if run:
+                containers.append(run)
+                sections.append(section)
+            run = []
+            section += i in dropped
+        own, full, links = [], [], []
         for c in containers:
-            points = 0.0
+            points = whole = 0.0
             for i in c:
                 words = lines[i].count(" ") + 1
                 if kinds[i] == "sentence" or words >= self.paragraph:
-                    points += (1 + lines[i].count(",") + min(3.0, len(lines[i]) / 100)) * (1 - density[i])
+                    p = 1 + lines[i].count(",") + min(3.0, len(lines[i]) / 100)
                 elif kinds[i] in ("byline", "date", "list", "code"):
-                    points += 0.3
+                    p = 0.3
+                else:
+                    continue
+                whole += p
+                points += p * (1 - density[i])
             labels = sum(kinds[i] == "short" and lines[i].count(" ") < 2 for i in c)
-            scores.append(points - (2.0 * labels if labels > max(2, 0.6 * len(c)) else 0))
+            loss = 2.0 * labels if labels > max(2, 0.6 * len(c)) else 0.0
+            own.append(points - loss)
+            full.append(whole - loss)
+            links.append(sum(len(lines[i]) * density[i] for i in c) / sum(len(lines[i]) for i in c))
         if containers:
+            total = dict.fromkeys(sections, 0.0)
+            for n, s in enumerate(own):
+                total[sections[n]] += max(0.0, s)
+            scores = [s + (total[sections[n]] - max(0.0, s)) / 2 for n, s in enumerate(own)]
             best = max(scores)
-            good = [n for n, s in enumerate(scores) if s > 0 and (s >= self.near * best or any(kinds[i] == "sentence" for i in containers[n]))]
-            first, last = (good[0], good[-1]) if good else (0, len(containers) - 1)
+            plain = [x < self.linked for x in links]
+            good = {n for n, s in enumerate(scores) if s > 0 and full[n] > 0 and (s >= self.near * best or own[n] > 0 and plain[n])}
+            if not good and max(full) > 0:  # all of it links
+                good = {full.index(max(full))}
+            first, last = (min(good), max(good)) if good else (0, len(containers) - 1)
+            near = {sections[n] for n in good}
             for n, c in enumerate(containers):
-                whole = n in good or scores[n] >= 0 and (n < first and _leads(lines, kinds, c, head) or first <= n <= last) or scores[n] > 0
-                if not whole:
+                between = first <= n <= last and (plain[n] or not good or sections[n] in near)
+                if n not in good and (full[n] < 0 or not (between or n < first and _leads(lines, kinds, c, head))):
                     dropped.update(c)
         return sorted(dropped)
 
 
+def _phrases(texts: set[str]) -> dict[str, list[list[str]]]:
+    """The words of link texts, by their first word and the longest first."""
+    found: dict[str, list[list[str]]] = {}
+    for words in sorted(map(_WORDS.findall, texts), key=len, reverse=True):
+        if words:
+            found.setdefault(words[0], []).append(words)
+    return found
+
+
+def _covered(words: list[str], phrases: dict[str, list[list[str]]]) -> float:
+    """Share of a line's words that are link texts."""
+    if phrases.keys().isdisjoint(words):
+        return 0.0
+    i = hits = 0
+    while i < len(words):
+        n = next((len(p) for p in phrases.get(words[i], ()) if words[i : i + len(p)] == p), 0)
+        hits += n
+        i += n or 1
+    return hits / len(words)
+
+
+def _addressed(slug: str, tails: list[str]) -> bool:
+    """Whether a title's slug is the last part of a linked address."""
+    return len(slug) > 12 and any(t.startswith(slug[:30]) or len(t) > 16 and slug.startswith(re.sub(r"-\d+$", "", t)) for t in tails)
+
+
 def _is_heading(lines: list[str], kinds: list[str], i: int) -> bool:
     """A short line straight before a paragraph."""
     return i + 1 < len(lines) and kinds[i + 1] == "sentence"

@@ -116,6 +116,24 @@ def test_main_body(spark):
     assert set(main) == {1, 3, 4, 5} and main[4] == "" and main[1].startswith("A quiet mill") and len(main[5]) == len(rows[4][2])
 
 
+ARTICLE = ["A quiet mill", "The mill stands by the river, and nobody has used it for years, as far as the town can tell.", "Its roof fell in last winter, after the storm, and the flood took the wheel in spring."]
+TEASER = ["Was the bridge, the old one, closed for good?", "- Two bakers share one oven."]
+TEASER_LINKS = [("/bridge", TEASER[0]), ("/oven", "Two bakers share one oven")]
+
+
+@pytest.mark.parametrize(
+    ("rest", "links", "dropped"),
+    [
+        (["Advertisement", *TEASER, "Back to top"], TEASER_LINKS, {3, 4, 5, 6}), (["Advertisement", "Was the bridge closed for good?", "Back to top"], [("http://a.example/was-the-bridge-closed-for-good", "")], {3, 4, 5}),
+        (["Most read", "Was the bridge closed for good?"], [("/b", "Was the bridge closed for good?")], {3, 4}), (["Advertisement", *TEASER, "Share this page: Mail | Print", "It may be built again, if the town agrees."], TEASER_LINKS, {3, 4, 5, 6}),
+        (["", "- the wheel.", "- the stone.", "Back to top"], [("/w", "the wheel"), ("/s", "the stone")], {6}), (["Advertisement", "That is all we know."], [("/m", "mill")], {3}),
+    ],
+)
+def test_linked_containers_are_surroundings(rest, links, dropped):
+    text = "\n".join(ARTICLE + rest)
+    assert set(mainbody.PageTree().surroundings(text, ARTICLE[0], [t for _, t in links], [h for h, _ in links])) == dropped
+
+
 @pytest.mark.parametrize(
     ("line", "expected"),
     [("Contact > Shop > Kettle", "nav"), ("* Help centre", "nav"), ("Home Shop Forum About us", "nav"), ("Liked it? Pass it on to a friend", "share"), ("Meistgelesen", "pointer"), ("À lire aussi", "pointer"), ("Most read: The oven", "pointer_to"),
