@@ -155,11 +155,13 @@ def _escaped(col):
 
 
 def _html(spark, d) -> DataFrame:
-    """page_id, url, html: the extracted pages written as HTML again."""
-    pages = table(spark, d, "extracted_page").where("text is not null and title is not null")
+    """page_id, url, html: the extracted pages written as HTML again; no <title> for a null title, no paragraphs for a null text."""
+    pages = table(spark, d, "extracted_page")
     lines = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("<p>"), _escaped(x), F.lit("</p>"))), "\n")
+    lines = F.coalesce(lines, F.lit(""))
+    title = F.coalesce(F.concat(F.lit("<title>"), _escaped(F.col("title")), F.lit("</title>")), F.lit(""))
     links = F.array_join(F.transform(F.coalesce("links", F.array().cast("array<struct<href:string,text:string>>")), lambda x: F.concat(F.lit('<li><a class=nav href="'), _escaped(x["href"]), F.lit('"><b>'), _escaped(x["text"]), F.lit("</b></a></li>"))), "")
-    head = F.concat(F.lit("<!doctype html><html><head><title>"), _escaped(F.col("title")), F.lit('</title><style>p { color: red }</style><meta name="robots" content="'), F.when(F.col("noindex"), "NoIndex").otherwise("all"), F.when(F.col("nofollow"), ", nofollow").otherwise(""), F.lit('"></head><body><!-- <p>gone</p> --><script>if (a < b) { "<p>gone</p>" }</script>'))
+    head = F.concat(F.lit("<!doctype html><html><head>"), title, F.lit('<style>p { color: red }</style><meta name="robots" content="'), F.when(F.col("noindex"), "NoIndex").otherwise("all"), F.when(F.col("nofollow"), ", nofollow").otherwise(""), F.lit('"></head><body><!-- <p>gone</p> --><script>if (a < b) { "<p>gone</p>" }</script>'))
     return pages.select("page_id", "url", F.concat(head, lines, F.lit("<ul>"), links, F.lit("</ul></body></html>")).alias("html"))
 
 

@@ -2,6 +2,7 @@ import pytest
 
 from tarnsearch.functions.entities import decode_entities, table
 from tarnsearch.functions.html import extract
+from tarnsearch.queries import html_links, html_text
 
 
 @pytest.fixture
@@ -56,3 +57,10 @@ def test_malformed_and_empty(page, column):
     assert p["text"].startswith("uno") and [x["href"] for x in p["links"]] == ["/x"]
     assert page("")["text"] == "" and page("<html></html>")["title"] == ""
     assert column(extract, [None]) == [None]
+
+
+def test_pages_without_title_or_text(spark, tmp_path):
+    rows = [(1, "T", "uno\ndos", [("/a", "A")]), (2, None, "uno", [("/b", "B")]), (3, "T", None, [("/c", "C")]), (4, None, None, None)]
+    spark.createDataFrame([(i, f"http://a.example/{i}", t, x, ls, None, False, False) for i, t, x, ls in rows], "page_id long, url string, title string, text string, links array<struct<href:string,text:string>>, base string, noindex boolean, nofollow boolean").write.parquet(f"{tmp_path}/extracted_page.parquet")
+    assert {r["page_id"]: (r["title"], r["text"]) for r in html_text(spark, str(tmp_path)).collect()} == {1: ("T", "T uno dos A"), 2: ("", "uno B"), 3: ("T", "T C"), 4: ("", "")}
+    assert sorted((r["page_id"], r["n"], r["href"], r["text"]) for r in html_links(spark, str(tmp_path)).collect()) == [(1, 0, "/a", "A"), (2, 0, "/b", "B"), (3, 0, "/c", "C")]
