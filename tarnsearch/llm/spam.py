@@ -1,6 +1,7 @@
 """Problem 5: keyword-stuffed pages and lists of links or tags.
 
-The text without navigation and legal lines is compressed in blocks; the ratio of a page is set against
+The text without navigation and legal lines is compressed in blocks (a rest up to a quarter
+block goes with the block before it); the ratio of a page is set against
 the median of pages of its language and length (aggregated over the whole table) in units of the median
 deviation.  Extreme redundancy marks a page, and so does text that hardly has sentences, which is how
 lists of different tags, addresses or titles look: these repeat nothing and redundancy alone can't find
@@ -58,13 +59,18 @@ def measure(text: str, kinds: Kinds) -> tuple[int, str, float, float, float, flo
     data = "\n".join(content).encode()
     if not data:
         return 0, "", 1.0, 1.0, 0.0, 0.0
-    blocks = [data[i : i + BLOCK] for i in range(0, max(1, len(data) - BLOCK // 4), BLOCK)] or [data]
-    ratio = sum(len(zlib.compress(b, 6)) for b in blocks) / sum(map(len, blocks))
+    ratio = sum(len(zlib.compress(b, 6)) for b in _blocks(data)) / len(data)
     lang = max(counts, key=counts.get)
     share = counts[lang] / max(1, words)
     return words, lang if share >= 0.05 else "", ratio, sentence_words / max(1, words), share, math.log2(len(data))
 
 
+def _blocks(data: bytes) -> list[bytes]:
+    """The whole of the data in blocks; a short rest belongs to the block before it."""
+    starts = range(0, max(1, len(data) - BLOCK // 4), BLOCK)
+    return [data[i : i + BLOCK] for i in starts[:-1]] + [data[starts[-1] :]]
+
+
 def _functional(words: list[str]) -> bool:
     return any(w in known for w in words for known in _FUNCTION_WORDS.values()) and words[0] in ("-", "–", "•", "+")
 

@@ -203,6 +203,19 @@ def test_spam(spark):
     assert found == {100, 101, 102, 103}
 
 
+@pytest.mark.parametrize("size", [1, 511, 512, 513, 2048, 2049, 2560, 2561, 4600, 6144])
+def test_blocks_hold_all_bytes(size):
+    data = random.Random(size).randbytes(size)
+    blocks = spam._blocks(data)
+    assert b"".join(blocks) == data and all(b for b in blocks) and max(map(len, blocks)) <= 2560
+
+
+def test_ratio_reads_the_end():
+    kinds = mainbody.Kinds()
+    text = "a" * 2048 + "".join(random.Random(3).choices("bcdefghijklmnopqrstuvwxyz", k=500))
+    assert spam.measure(text, kinds)[2] > 5 * spam.measure(text[:2048], kinds)[2]
+
+
 # problem 6
 
 
