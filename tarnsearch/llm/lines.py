@@ -52,7 +52,11 @@ _HINTS = frozenset(
     fragen preguntas write call tel phone telefon e mail email fax back nach volver haut retour top seitenanfang
     you related read most more in see meistgelesen mehr lesen das à sur les lo te más""".split()
 )
+_TOPICS = _HINTS - frozenset("c log get free pass tell call write you in see read more most to das à sur les lo te más mal mehr back nach e top line terms questions consent start retour haut".split())
 _WORDS = re.compile(r"\w+")
+_SENTENCES = re.compile(r"(?<=[.!?;])\s+")
+#: Characters from which a line is read sentence by sentence.
+STATEMENT = 240
 _POINTER = re.compile(
     r"^(you may also like|related (articles|stories|posts)|read (more|next|also)|most read|most popular|more from\b[^.!?]{0,40}|more on this|in this section|see also"
     r"|meistgelesen|mehr zum thema|lesen sie auch|das könnte sie auch interessieren|à lire aussi|les plus lus|sur le même thème|lo más leído|te puede interesar|más sobre el tema)\s*(:\s*(?P<rest>.+))?$",
@@ -62,8 +66,8 @@ _BYLINE = re.compile(
     r"^((words|text|texte|redacción|author|autor|auteur)\s?:|(by|posted by|written by|von|par|por|redaktion)\s+\w)|\breports$|\|\s*staff writer$|^(geschrieben|escrito|écrit)\b",
     re.I,
 )
-_MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december|januar|februar|märz|mai|juni|juli|oktober|dezember|janvier|février|mars|avril|juin|juillet|août|septembre|octobre|novembre|décembre|enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|diciembre"
-_DATE = re.compile(rf"^(published|last updated|updated|stand|publié le|actualizado|publicado|veröffentlicht)\b[^.]{{0,40}}\d|^\d{{1,2}}\.?\s+(de\s+)?({_MONTHS})\b|^({_MONTHS})\s+\d{{1,2}}\b|^\d{{4}}-\d\d-\d\d\b|^le \d{{1,2}} ({_MONTHS})", re.I)
+MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december|januar|februar|märz|mai|juni|juli|oktober|dezember|janvier|février|mars|avril|juin|juillet|août|septembre|octobre|novembre|décembre|enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|diciembre"
+_DATE = re.compile(rf"^(published|last updated|updated|stand|publié le|actualizado|publicado|veröffentlicht)\b[^.]{{0,40}}\d|^\d{{1,2}}\.?\s+(de\s+)?({MONTHS})\b|^({MONTHS})\s+\d{{1,2}}\b|^\d{{4}}-\d\d-\d\d\b|^le \d{{1,2}} ({MONTHS})", re.I)
 _SENTENCE_END = re.compile(r"[.!?…][\"'»”)\]]*$")
 _LIST = re.compile(r"^([-–•*+]|\d{1,3}[.)])\s+\S")
 _CODE = re.compile(r"[;{}]\s*$|^(let|const|var|def|fn|export|import|return|if|for|#include|\$)\b.*[=({]|\w+\.\w+\([^)]*\)|^\s*</?\w+|^\S+\s*=\s*\S+$")
@@ -97,7 +101,7 @@ def navigation(line: str) -> bool:
         low = low[2:].lstrip()
     if low in NAV_LABELS:
         return True
-    if low[-1:] in ".!?" or len(low) > 1000:
+    if low[-1:] in ".!?":
         return False
     parts = [p for p in _SEPARATORS.split(low) if p]
     if len(parts) > 1:
@@ -111,23 +115,41 @@ def navigation(line: str) -> bool:
     return len(words) > 1 and _covered(words)
 
 
+def cue(line: str) -> str | None:
+    """Surroundings named by the words of a line that is one statement."""
+    for name, pattern in _CUES:
+        if pattern.search(line):
+            return name
+    m = _POINTER.match(line)
+    return ("pointer_to" if m["rest"] else "pointer") if m else None
+
+
+def _spoken(line: str) -> str | None:
+    """:func:`cue` of a line of several sentences, however long: half of its words have to be in sentences of one kind, a third when it starts with them."""
+    shares: dict[str, int] = {}
+    sentences = _SENTENCES.split(line)
+    cues = [cue(x) for x in sentences]
+    for sentence, name in zip(sentences, cues):
+        if name:
+            shares[name] = shares.get(name, 0) + sentence.count(" ") + 1
+    best = max(shares, key=shares.get, default=None)
+    return best if best and (3 if cues[0] == best else 2) * shares[best] >= line.count(" ") + 1 else None
+
+
 def kind(line: str) -> str:
     """Kind of a cleaned, non-empty line by its own words."""
-    if len(line) <= 240:
-        if "©" in line or not _HINTS.isdisjoint(_WORDS.findall(line.lower())):
-            for name, pattern in _CUES:
-                if pattern.search(line):
-                    return name
-            m = _POINTER.match(line)
-            if m:
-                return "pointer_to" if m["rest"] else "pointer"
-        if navigation(line):
-            return "nav"
-        if len(line) <= 90:
-            if _BYLINE.search(line) and not _SENTENCE_END.search(line):
-                return "byline"
-            if _DATE.search(line):
-                return "date"
+    long = len(line) > STATEMENT
+    if "©" in line or not (_TOPICS if long else _HINTS).isdisjoint(_WORDS.findall(line.lower())):
+        name = _spoken(line) if long else cue(line)
+        if name:
+            return name
+    if navigation(line):
+        return "nav"
+    if len(line) <= 90:
+        if _BYLINE.search(line) and not _SENTENCE_END.search(line):
+            return "byline"
+        if _DATE.search(line):
+            return "date"
     if _SENTENCE_END.search(line) and (len(line) > 60 or line.count(" ") >= 3):
         return "sentence"
     if _LIST.match(line):
@@ -145,7 +167,7 @@ class Kinds:
         self.most = most
 
     def __call__(self, line: str) -> str:
-        if len(line) > 240:
+        if len(line) > STATEMENT:
             return kind(line)
         k = self.seen.get(line)
         if k is None:

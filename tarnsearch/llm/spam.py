@@ -1,24 +1,26 @@
 """Problem 5: keyword-stuffed pages and lists of links or tags.
 
-The text without navigation and legal lines is compressed in blocks (a rest up to a quarter
-block goes with the block before it); the ratio of a page is set against
-the median of pages of its language and length (aggregated over the whole table) in units of the median
-deviation.  Extreme redundancy marks a page, and so does text that hardly has sentences, which is how
-lists of different tags, addresses or titles look: these repeat nothing and redundancy alone can't find
-them.  Pages of one repeated sentence are marked by redundancy alone.
-
-Error messages and template residue are problem 4's and count as sentences here.
-
-No prose compresses to a fifth, so below ``absolute`` a page counts as redundant even where spam
-makes up most of its length class.
-
-Null and short texts (under ``min_words`` words of content) are never marked.  Repeated ids count once
-with ``unique_ids=False``; empty tables give no rows; extra columns are ignored.
+The text without navigation and legal lines is brought to its *shape*: function words, punctuation and line
+ends stay, every other word is ``w``, an address ``u``, a number ``#``.  Prose varies in shape; repeated
+keywords, tags, titles and one phrase for many places don't, whether or not the words themselves repeat.  The
+shape is compressed in blocks (a rest up to a quarter block goes with the block before it) and set against
+the bytes of the text; the logarithm of that ratio is compared with the median of prose pages of the page's
+language and length, in units of the median deviation.  Extreme redundancy flags a page, and a low density of
+sentence punctuation has to confirm it: the share of words that stand in sentences, each form of a sentence
+(names and numbers masked) counted once and lines that are texts of the page's links not at all.
+
+A class of few pages is drawn towards the same length in all languages, and that towards a line over all
+lengths, by their counts (``weight`` pages stand for the wider class), so small tables behave like large ones.
+
+Error messages and template residue are problem 4's and count as sentences here.  Null texts and texts
+without content or with too little of it to compress at all are never marked; null links count as none.  Repeated ids count once with
+``unique_ids=False``; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import zlib
 
 import pyarrow as pa
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 
 from tarnsearch.llm.common import one_row_per_id
 from tarnsearch.llm.lines import SURROUNDINGS, Kinds, clean
-from tarnsearch.llm.residue import filler, message, unfilled
+from tarnsearch.llm.residue import filler, rule, unfilled
+from tarnsearch.llm.textstats import FUNCTION_WORDS
 from tarnsearch.session import write_shared
 
 BLOCK = 2048
@@ -38,31 +41,71 @@ _FUNCTION_WORDS = {
     "fr": frozenset("le la les du des et en au avec sans sous un une est pas que dans pour par selon après".split()),
     "es": frozenset("el la los las del y en al con sin por tras según un una es que no para antes".split()),
 }
-
-
-def measure(text: str, kinds: Kinds) -> tuple[int, str, float, float, float, float]:
-    """words, language, blocks' mean ratio, share of words in sentences, function-word share, log2 of bytes."""
-    content, sentence_words, words = [], 0, 0
+_ALL_FUNCTION_WORDS = frozenset().union(*FUNCTION_WORDS.values())
+_PIECES = re.compile(r"https?://\S+|\w+|[^\w\s]")
+_NAMES = re.compile(r"\b[A-ZÄÖÜÀÉÈ]\w*|\d+")
+_SENTENCES = re.compile(r"(?<=[.!?…])\s+")
+# Where no page has been seen: natural logarithm of the ratio against log2 of the bytes, and the median deviation.
+PRIOR_LINE, PRIOR_SPREAD = (0.55, -0.245), 0.1
+
+
+class Shapes:
+    """The shape of a line; classes of words are remembered in a bounded table."""
+
+    def __init__(self, most: int = 200_000):
+        self.known: dict[str, str] = {}
+        self.most = most
+
+    def __call__(self, line: str) -> str:
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+        out = []
+        for t in _PIECES.findall(line):
+            c = known.get(t)
+            if c is None:
+                low = t.lower()
+                c = known[t] = low if low in _ALL_FUNCTION_WORDS else "#" if t.isdigit() else "w" if t[0].isalnum() and "://" not in t else "u" if len(t) > 1 else t
+            out.append(c)
+        return " ".join(out)
+
+
+def measure(text: str, link_texts: list[str], kinds: Kinds, shapes: Shapes) -> tuple[int, str, float, float, float]:
+    """words, language, logarithm of the blocks' ratio, share of words in distinct sentences, log2 of bytes."""
+    content, words, sentence_words = [], 0, 0
     counts = dict.fromkeys(_FUNCTION_WORDS, 0)
+    linked = {clean(t).lower() for t in link_texts if t}
+    forms: set[str] = set()
     for raw in text.split("\n"):
         line = clean(raw)
         if not line or (k := kinds(line)) in SURROUNDINGS or k in ("byline", "date"):
             continue
         content.append(line)
-        own = line.lower().split()
+        low = line.lower()
+        own = low.split()
         words += len(own)
-        ends = sum(map(line.count, ".!?…"))
-        if k == "sentence" and len(own) <= 45 * ends or k == "code" or k == "list" and _functional(own) or filler(line) or k != "sentence" and (message(line) or unfilled(line)):
-            sentence_words += len(own)
         for lang, known in _FUNCTION_WORDS.items():
             counts[lang] += sum(map(known.__contains__, own))
-    data = "\n".join(content).encode()
-    if not data:
-        return 0, "", 1.0, 1.0, 0.0, 0.0
-    ratio = sum(len(zlib.compress(b, 6)) for b in _blocks(data)) / len(data)
+        if low in linked:
+            continue
+        ends = sum(map(line.count, ".!?…"))
+        if k == "sentence" and len(own) <= 45 * ends:
+            for sentence in _SENTENCES.split(line):
+                form = _NAMES.sub("~", sentence)
+                if form not in forms:
+                    forms.add(form)
+                    sentence_words += sentence.count(" ") + 1
+        elif k == "code" or k == "list" and _functional(own) or filler(line) or k != "sentence" and (unfilled(line) or rule(line)):
+            sentence_words += len(own)
+    size = len("\n".join(content).encode())
+    if not size:
+        return 0, "", 0.0, 1.0, 0.0
+    shape = "\n".join(map(shapes, content)).encode()
+    packed = sum(len(zlib.compress(b, 6)) for b in _blocks(shape))
+    if packed >= len(shape):  # too little to repeat anything
+        return 0, "", 0.0, 1.0, 0.0
     lang = max(counts, key=counts.get)
-    share = counts[lang] / max(1, words)
-    return words, lang if share >= 0.05 else "", ratio, sentence_words / max(1, words), share, math.log2(len(data))
+    return words, lang if counts[lang] >= 0.05 * words else "", math.log(packed / size), sentence_words / max(1, words), math.log2(size)
 
 
 def _blocks(data: bytes) -> list[bytes]:
@@ -76,25 +119,29 @@ def _functional(words: list[str]) -> bool:
 
 
 def _measures(batches):
-    kinds = Kinds()
+    kinds, shapes = Kinds(), Shapes()
     for b in batches:
-        rows = [(i, *measure(x, kinds)) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        columns = list(zip(*rows)) or [()] * 7
-        types = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["page_id", "words", "lang", "ratio", "sentences", "functional", "bits"])
+        rows = [(i, *measure(x, t or [], kinds, shapes)) for i, x, t in zip(*(c.to_pylist() for c in b.columns))]
+        columns = list(zip(*rows)) or [()] * 6
+        types = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["page_id", "words", "lang", "ratio", "sentences", "bits"])
 
 
-def spam_pages(pages: DataFrame, id_col="page_id", text_col="text", *, min_words=20, extreme=5.0, low_sentences=0.3, deep=0.3, absolute=0.2, unique_ids=False) -> DataFrame:
+def spam_pages(pages: DataFrame, id_col="page_id", text_col="text", links_col="links", *, extreme=3.0, low_sentences=0.3, weight=20.0, unique_ids=False) -> DataFrame:
     """(page_id, ratio, deviation, sentences) of the pages found."""
-    texts = one_row_per_id(pages, id_col, unique_ids).select(F.col(id_col).cast("long"), F.col(text_col)).where(F.col(text_col).isNotNull())
-    seen = write_shared(texts.mapInArrow(_measures, "page_id long, words int, lang string, ratio double, sentences double, functional double, bits double"), "page-measures").withColumn("bucket", F.least(F.lit(24), F.round(F.col("bits") * 2)).cast("int"))
-    whole = seen.where(F.col("sentences") >= 0.5)
-    usual = whole.groupBy("lang", "bucket").agg(F.percentile_approx("ratio", 0.5, 10_000).alias("median"), F.percentile_approx("ratio", 0.25, 10_000).alias("quarter"), F.count("*").alias("n"))
-    overall = whole.groupBy("bucket").agg(F.percentile_approx("ratio", 0.5, 10_000).alias("median_all"), F.percentile_approx("ratio", 0.25, 10_000).alias("quarter_all"), F.count("*").alias("n"))
-    # at most five languages by 49 lengths
-    both = seen.join(F.broadcast(usual.where("n >= 20").drop("n")), ["lang", "bucket"], "left").join(F.broadcast(overall.where("n >= 20").drop("n")), "bucket", "left")
-    middle, quarter = F.coalesce("median", "median_all", F.lit(0.55)), F.coalesce("quarter", "quarter_all", F.lit(0.52))
-    deviation = (F.col("ratio") - middle) / F.greatest(F.lit(0.01), middle - quarter)
-    redundant = (deviation <= -extreme) & (F.col("ratio") <= deep) | (F.col("ratio") <= absolute)
-    found = (F.col("words") >= min_words) & (redundant | (F.col("sentences") < low_sentences))
-    return both.where(found).select("page_id", "ratio", deviation.alias("deviation"), "sentences")
+    links = F.col(f"{links_col}.text") if links_col in pages.columns else F.lit(None).cast("array<string>")
+    texts = one_row_per_id(pages, id_col, unique_ids).select(F.col(id_col).cast("long"), F.col(text_col), links.alias("_links")).where(F.col(text_col).isNotNull())
+    seen = write_shared(texts.mapInArrow(_measures, "page_id long, words int, lang string, ratio double, sentences double, bits double"), "page-measures").where("words > 0").withColumn("bucket", F.round(F.col("bits") * 2).cast("int"))
+    prose = seen.where(F.col("sentences") >= 0.5)
+    row = prose.agg(F.count("*").alias("n"), F.regr_intercept("ratio", "bits").alias("a"), F.regr_slope("ratio", "bits").alias("b")).first()
+    a, b = (row["a"], row["b"]) if row["a"] is not None else PRIOR_LINE
+    n = row["n"] + weight
+    line = ((F.lit(a) * row["n"] + PRIOR_LINE[0] * weight) + (F.lit(b) * row["n"] + PRIOR_LINE[1] * weight) * F.col("bits")) / n
+    # a row per language and length: at most five by some hundred
+    usual, overall = (prose.groupBy(*keys).agg(F.percentile_approx("ratio", 0.5, 10_000).alias(f"m{i}"), F.percentile_approx("ratio", 0.25, 10_000).alias(f"q{i}"), F.count("*").alias(f"n{i}")) for i, keys in ((1, ["lang", "bucket"]), (2, ["bucket"])))
+    both = seen.join(F.broadcast(usual), ["lang", "bucket"], "left").join(F.broadcast(overall), "bucket", "left").fillna(0, ["n1", "n2", "m1", "m2", "q1", "q2"])
+    drawn = lambda i, own, wider: (F.col(f"n{i}") * own + weight * wider) / (F.col(f"n{i}") + weight)
+    middle = drawn(1, F.col("m1"), drawn(2, F.col("m2"), line))
+    spread = drawn(1, F.col("m1") - F.col("q1"), drawn(2, F.col("m2") - F.col("q2"), F.lit(PRIOR_SPREAD)))
+    deviation = (F.col("ratio") - middle) / F.greatest(F.lit(0.02), spread)
+    return both.withColumn("deviation", deviation).where((F.col("deviation") <= -extreme) & (F.col("sentences") < low_sentences)).select("page_id", "ratio", "deviation", "sentences")

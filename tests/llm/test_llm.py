@@ -143,6 +143,14 @@ def test_line_kinds(line, expected):
     assert kind(line) == expected
 
 
+@pytest.mark.parametrize("times", [1, 3, 45])
+def test_notices_of_every_length_are_told(times):
+    cookie = "This site sets cookies to remember you and to count visits. Manage your cookies in the settings or accept them all. "
+    assert kind((cookie * times).strip()) == "cookie"
+    assert kind((cookie + "We store small files for that, and our partners read them when you come back to any of our pages, as they do elsewhere.").strip()) == "cookie"
+    assert kind(("The mill stands by the river and nobody has used it. " * 8 * times + "It uses cookies to store its settings.").strip()) == "sentence"
+
+
 # problem 3
 
 
@@ -173,18 +181,55 @@ def test_reports_agree(spark):
 # problem 4
 
 
+GOOD = "The mill stands by the river. Nobody has used it for years, and the roof is gone."
+
+
+def page_frame(spark, rows, sites=7):
+    return frame(spark, [(i, f"http://s{i % sites}.example/", t, x) for i, t, x in rows], "page_id long, url string, title string, text string")
+
+
 def test_residue(spark):
-    good = "The mill stands by the river. Nobody has used it for years, and the roof is gone."
     rows = [
-        (1, "Just a moment", good), (2, "Mill", f"{good} The {{{{ owner }}}} sold it."), (3, "Mill", "Home\nPlease enable JavaScript to continue.\nLoading..."), (4, "Mill", good),
-        (5, "Mill", f"{good} A template such as ${{name}} must be filled first. Designers put lorem ipsum into drafts."), (6, "Mill", "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore."),
-        (7, None, "Access denied. You have no permission."), (8, "Access denied", None), (9, "${title} | Mill", good), (10, "Mill", f"{good}\nError 503: the server could not complete the request"), (11, "Mill", "[object Object]\nNaN items in cart"),
-        *((20 + i, "Mill", "Please wait.") for i in range(4)), (30, "Mill", ""), (4, "Mill", good),
+        (1, "Just a moment", GOOD), (2, "Mill", f"{GOOD} The {{{{ owner }}}} sold it."), (3, "Mill", "Home\nPlease enable JavaScript to continue.\nLoading..."), (4, "Mill", GOOD),
+        (5, "Mill", f"{GOOD} A template such as ${{name}} must be filled first. Designers put lorem ipsum into drafts."), (6, "Mill", "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore."),
+        (7, None, "Access denied. You have no permission."), (8, "Access denied", None), (9, "${title} | Mill", GOOD), (10, "Mill", f"{GOOD}\nError 503: the server could not complete the request"), (11, "Mill", "[object Object]\nNaN items in cart"),
+        *((20 + i, "Mill", "Please wait.") for i in range(4)), (30, "Mill", ""), (4, "Mill", GOOD),
+        # the same forms on other sites
+        (41, "Just a moment - Tower", GOOD), (43, "Tower", "Please enable JavaScript to continue.\nLoading..."), (45, "Tower", "NaN items in cart"), (46, "Tower", "Error 502: the server could not complete the request"),
+        # a notice that no other site carries
+        (60, "Tower", "The database of the ferry office failed with code 7 again."),
     ]
-    df = frame(spark, [(i, f"http://s{i % 7}.example/", t, x) for i, t, x in rows], "page_id long, url string, title string, text string")
-    assert {r["page_id"] for r in residue.residue_pages(df).collect()} == {1, 2, 3, 6, 9, 11, 20, 21, 22, 23}
+    df = page_frame(spark, rows)
+    got = {r["page_id"]: r["reason"] for r in residue.residue_pages(df).collect()}
+    assert got == {**dict.fromkeys((1, 41), "title"), **dict.fromkeys((2, 9), "placeholder"), 11: "placeholder", 6: "filler", **dict.fromkeys((3, 20, 21, 22, 23, 43, 45, 46), "message")}
     clean = residue.without_residue(df)
-    assert {r["page_id"] for r in clean.collect()} == {4, 5, 7, 8, 10, 30} and clean.columns == df.columns
+    assert {r["page_id"] for r in clean.collect()} == {4, 5, 7, 8, 10, 30, 60} and clean.columns == df.columns
+
+
+@pytest.mark.parametrize("size", [1, 40])
+def test_messages_of_every_length_are_counted(spark, size):
+    notice = "Error 503: the server could not complete the request because its store did not answer in time, so nothing was sent. " * size
+    rows = [(i, "Mill", notice.replace("503", str(500 + i))) for i in range(3)] + [(10, "Mill", f"{GOOD} Once it said: {notice[:60]} and we wrote it down.")]
+    assert {r["page_id"] for r in residue.residue_pages(page_frame(spark, rows)).collect()} == {0, 1, 2}
+
+
+def test_recurrence_alone_or_a_phrase_alone_is_no_message(spark):
+    rows = [(i, "Mill", "A short text that many sites carry") for i in range(6)] + [(20, "Mill", "This page could not be found on the old river server")]
+    assert residue.residue_pages(page_frame(spark, rows)).count() == 0
+    assert [residue.wide(n) for n in (0, 1, 7, 204, 10**6)] == [2, 2, 2, 3, 7]
+
+
+@pytest.mark.parametrize(
+    ("line", "expected"),
+    [("404 - the page you asked for could not be found", "missing"), ("Bad gateway. Reference 08ff92ca5d4a", "server"), ("xxxx xxx xxxxx", "repeat"), ("at mill.wheel (a.js:3:4)", "frame"), ("Heading 4", "skeleton"), ("Back soon", "bare"), ("The mill stands by the river.", None), ("", None)],
+)
+def test_phrase_rules(line, expected):
+    assert residue.rule(line) == expected
+
+
+def test_masks():
+    assert residue.mask("Undefined variable: mill in /srv/app/mill.tpl on line 4") == residue.mask("Undefined variable: ferry in /srv/b.tpl on line 71")
+    assert residue.mask("Posted by {{ author }} on 3 May 2020, see a@b.example") == "posted by {} on §, see @"
 
 
 # problem 5
@@ -201,6 +246,10 @@ def test_spam(spark):
     ]
     found = {r["page_id"] for r in spam.spam_pages(frame(spark, rows, "page_id long, text string")).collect()}
     assert found == {100, 101, 102, 103}
+    titles = [f"{rng.choice(names).title()} and {rng.choice(names)} {n}?" for n in range(40)]
+    linked = [(i, x, [("/a", "Home")]) for i, x in rows] + [(200, "\n".join(titles), [("/t", t) for t in titles]), (201, prose(9), [("/t", "mill"), (None, None)])]
+    again = spam.spam_pages(frame(spark, linked, "page_id long, text string, links array<struct<href:string,text:string>>"))
+    assert {r["page_id"] for r in again.collect()} == {100, 101, 102, 103, 200}
 
 
 @pytest.mark.parametrize("size", [1, 511, 512, 513, 2048, 2049, 2560, 2561, 4600, 6144])
@@ -211,9 +260,16 @@ def test_blocks_hold_all_bytes(size):
 
 
 def test_ratio_reads_the_end():
-    kinds = mainbody.Kinds()
-    text = "a" * 2048 + "".join(random.Random(3).choices("bcdefghijklmnopqrstuvwxyz", k=500))
-    assert spam.measure(text, kinds)[2] > 5 * spam.measure(text[:2048], kinds)[2]
+    rng = random.Random(3)
+    text = "mill, " * 700 + " ".join(rng.choice(["the", "a", "of", "mill", "and", "3", "by", "-"]) for _ in range(250))
+    ratio = lambda x: spam.measure(x, [], mainbody.Kinds(), spam.Shapes())[2]
+    assert ratio(text) > ratio(text[:4200]) + 1
+
+
+def test_no_length_or_word_limit_for_spam(spark):
+    prose = [(i, " ".join(f"The mill {i} has a wheel of {k} parts, and the river moves it by night." if (i + k) % 3 else f"Nobody in town {k} knows who built it, or why it stands there." for k in range(9))) for i in range(40)]
+    rows = [*prose, (100, "lamp price " * 40_000), (101, "lamp, lamp, lamp, lamp, lamp, lamp, lamp, lamp, lamp, lamp, lamp"), (102, "buy"), (103, "Home\nNews")]
+    assert {r["page_id"] for r in spam.spam_pages(frame(spark, rows, "page_id long, text string")).collect()} == {100, 101}
 
 
 # problem 6
