@@ -1,12 +1,12 @@
 """Problem 5: keyword-stuffed pages and lists of links or tags.
 
-The text without navigation and legal lines is brought to its *shape*: function words, punctuation and line
-ends stay, every other word is ``w``, an address ``u``, a number ``#``.  Prose varies in shape; repeated
-keywords, tags, titles and one phrase for many places don't, whether or not the words themselves repeat.  The
-shape is compressed in blocks (a rest up to a quarter block goes with the block before it) and set against
-the bytes of the text; the logarithm of that ratio is compared with the median of prose pages of the page's
-language and length, in units of the median deviation.  Extreme redundancy flags a page, and a low density of
-sentence punctuation has to confirm it: the share of words that stand in sentences, each form of a sentence
+The text without navigation and legal lines is compressed in blocks (a rest up to a quarter block goes with
+the block before it), once as it is and once as its *shape*: function words, punctuation and line ends stay,
+every other word is ``w``, an address ``u``, a number ``#``.  Prose varies in shape; lists of different tags,
+addresses or titles don't, though their words never repeat.  Either size is set against the bytes of the
+text, and the logarithm of the ratio against the median of prose pages of the page's language and length, in
+units of the median deviation.  Extreme redundancy of one of them flags a page, and a low density of sentence
+punctuation has to confirm it: the share of words that stand in sentences, each form of a sentence
 (names and numbers masked) counted once and lines that are texts of the page's links not at all.
 
 A class of few pages is drawn towards the same length in all languages, and that towards a line over all
@@ -45,8 +45,8 @@ _ALL_FUNCTION_WORDS = frozenset().union(*FUNCTION_WORDS.values())
 _PIECES = re.compile(r"https?://\S+|\w+|[^\w\s]")
 _NAMES = re.compile(r"\b[A-ZÄÖÜÀÉÈ]\w*|\d+")
 _SENTENCES = re.compile(r"(?<=[.!?…])\s+")
-# Where no page has been seen: natural logarithm of the ratio against log2 of the bytes, and the median deviation.
-PRIOR_LINE, PRIOR_SPREAD = (0.55, -0.245), 0.1
+# Where no page has been seen: natural logarithm of each ratio against log2 of the bytes, and the median deviation.
+PRIORS, PRIOR_SPREAD = {"ratio": (0.6, -0.12), "shape": (0.55, -0.245)}, 0.1
 
 
 class Shapes:
@@ -70,8 +70,8 @@ class Shapes:
         return " ".join(out)
 
 
-def measure(text: str, link_texts: list[str], kinds: Kinds, shapes: Shapes) -> tuple[int, str, float, float, float]:
-    """words, language, logarithm of the blocks' ratio, share of words in distinct sentences, log2 of bytes."""
+def measure(text: str, link_texts: list[str], kinds: Kinds, shapes: Shapes) -> tuple[int, str, float, float, float, float]:
+    """words, language, logarithm of the blocks' ratio for the text and for its shape, share of words in distinct sentences, log2 of bytes."""
     content, words, sentence_words = [], 0, 0
     counts = dict.fromkeys(_FUNCTION_WORDS, 0)
     linked = {clean(t).lower() for t in link_texts if t}
@@ -97,15 +97,13 @@ def measure(text: str, link_texts: list[str], kinds: Kinds, shapes: Shapes) -> t
                     sentence_words += sentence.count(" ") + 1
         elif k == "code" or k == "list" and _functional(own) or filler(line) or k != "sentence" and (unfilled(line) or rule(line)):
             sentence_words += len(own)
-    size = len("\n".join(content).encode())
-    if not size:
-        return 0, "", 0.0, 1.0, 0.0
-    shape = "\n".join(map(shapes, content)).encode()
-    packed = sum(len(zlib.compress(b, 6)) for b in _blocks(shape))
-    if packed >= len(shape):  # too little to repeat anything
-        return 0, "", 0.0, 1.0, 0.0
+    data, shape = "\n".join(content).encode(), "\n".join(map(shapes, content)).encode()
+    packed = [sum(len(zlib.compress(b, 6)) for b in _blocks(x)) for x in (data, shape)]
+    if packed[1] >= len(shape):  # too little to repeat anything
+        return 0, "", 0.0, 0.0, 1.0, 0.0
     lang = max(counts, key=counts.get)
-    return words, lang if counts[lang] >= 0.05 * words else "", math.log(packed / size), sentence_words / max(1, words), math.log2(size)
+    ratio, formed = (math.log(p / len(data)) for p in packed)
+    return words, lang if counts[lang] >= 0.05 * words else "", ratio, formed, sentence_words / max(1, words), math.log2(len(data))
 
 
 def _blocks(data: bytes) -> list[bytes]:
@@ -122,26 +120,32 @@ def _measures(batches):
     kinds, shapes = Kinds(), Shapes()
     for b in batches:
         rows = [(i, *measure(x, t or [], kinds, shapes)) for i, x, t in zip(*(c.to_pylist() for c in b.columns))]
-        columns = list(zip(*rows)) or [()] * 6
-        types = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["page_id", "words", "lang", "ratio", "sentences", "bits"])
+        columns = list(zip(*rows)) or [()] * 7
+        types = (pa.int64(), pa.int32(), pa.string(), *[pa.float64()] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["page_id", "words", "lang", "ratio", "shape", "sentences", "bits"])
 
 
 def spam_pages(pages: DataFrame, id_col="page_id", text_col="text", links_col="links", *, extreme=3.0, low_sentences=0.3, weight=20.0, unique_ids=False) -> DataFrame:
     """(page_id, ratio, deviation, sentences) of the pages found."""
     links = F.col(f"{links_col}.text") if links_col in pages.columns else F.lit(None).cast("array<string>")
     texts = one_row_per_id(pages, id_col, unique_ids).select(F.col(id_col).cast("long"), F.col(text_col), links.alias("_links")).where(F.col(text_col).isNotNull())
-    seen = write_shared(texts.mapInArrow(_measures, "page_id long, words int, lang string, ratio double, sentences double, bits double"), "page-measures").where("words > 0").withColumn("bucket", F.round(F.col("bits") * 2).cast("int"))
+    seen = write_shared(texts.mapInArrow(_measures, "page_id long, words int, lang string, ratio double, shape double, sentences double, bits double"), "page-measures").where("words > 0").withColumn("bucket", F.round(F.col("bits") * 2).cast("int"))
     prose = seen.where(F.col("sentences") >= 0.5)
-    row = prose.agg(F.count("*").alias("n"), F.regr_intercept("ratio", "bits").alias("a"), F.regr_slope("ratio", "bits").alias("b")).first()
-    a, b = (row["a"], row["b"]) if row["a"] is not None else PRIOR_LINE
-    n = row["n"] + weight
-    line = ((F.lit(a) * row["n"] + PRIOR_LINE[0] * weight) + (F.lit(b) * row["n"] + PRIOR_LINE[1] * weight) * F.col("bits")) / n
+    lines = prose.agg(F.count("*").alias("n"), *[f(c, "bits").alias(f"{c}_{n}") for c in PRIORS for f, n in ((F.regr_intercept, "a"), (F.regr_slope, "b"))]).first()
+    quarters = lambda c: [F.percentile_approx(c, p, 10_000).alias(f"{c}_{n}") for n, p in (("m", 0.5), ("q", 0.25))]
     # a row per language and length: at most five by some hundred
-    usual, overall = (prose.groupBy(*keys).agg(F.percentile_approx("ratio", 0.5, 10_000).alias(f"m{i}"), F.percentile_approx("ratio", 0.25, 10_000).alias(f"q{i}"), F.count("*").alias(f"n{i}")) for i, keys in ((1, ["lang", "bucket"]), (2, ["bucket"])))
-    both = seen.join(F.broadcast(usual), ["lang", "bucket"], "left").join(F.broadcast(overall), "bucket", "left").fillna(0, ["n1", "n2", "m1", "m2", "q1", "q2"])
-    drawn = lambda i, own, wider: (F.col(f"n{i}") * own + weight * wider) / (F.col(f"n{i}") + weight)
-    middle = drawn(1, F.col("m1"), drawn(2, F.col("m2"), line))
-    spread = drawn(1, F.col("m1") - F.col("q1"), drawn(2, F.col("m2") - F.col("q2"), F.lit(PRIOR_SPREAD)))
-    deviation = (F.col("ratio") - middle) / F.greatest(F.lit(0.02), spread)
-    return both.withColumn("deviation", deviation).where((F.col("deviation") <= -extreme) & (F.col("sentences") < low_sentences)).select("page_id", "ratio", "deviation", "sentences")
+    usual, overall = (prose.groupBy(*keys).agg(F.count("*").alias("n"), *quarters("ratio"), *quarters("shape")) for keys in (["lang", "bucket"], ["bucket"]))
+    wider = F.broadcast(overall.select("bucket", *[F.col(c).alias(f"all_{c}") for c in overall.columns[1:]]))
+    both = seen.join(F.broadcast(usual), ["lang", "bucket"], "left").join(wider, "bucket", "left").fillna(0)
+    drawn = lambda n, own, wide: (n * own + weight * wide) / (n + weight)
+
+    def deviation(c: str):
+        known = lines[f"{c}_a"] is not None and lines[f"{c}_b"] is not None
+        n = F.lit(float(lines["n"] if known else 0))
+        line = drawn(n, F.lit(lines[f"{c}_a"] or 0.0) + F.lit(lines[f"{c}_b"] or 0.0) * F.col("bits"), F.lit(PRIORS[c][0]) + F.lit(PRIORS[c][1]) * F.col("bits"))
+        middle = drawn(F.col("n"), F.col(f"{c}_m"), drawn(F.col("all_n"), F.col(f"all_{c}_m"), line))
+        spread = drawn(F.col("n"), F.col(f"{c}_m") - F.col(f"{c}_q"), drawn(F.col("all_n"), F.col(f"all_{c}_m") - F.col(f"all_{c}_q"), F.lit(PRIOR_SPREAD)))
+        return (F.col(c) - middle) / F.greatest(F.lit(0.02), spread)
+
+    judged = both.withColumn("deviation", F.least(deviation("ratio"), deviation("shape")))
+    return judged.where((F.col("deviation") <= -extreme) & (F.col("sentences") < low_sentences)).select("page_id", "ratio", "deviation", "sentences")

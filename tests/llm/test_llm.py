@@ -262,12 +262,15 @@ def test_blocks_hold_all_bytes(size):
 def test_ratio_reads_the_end():
     rng = random.Random(3)
     text = "mill, " * 700 + " ".join(rng.choice(["the", "a", "of", "mill", "and", "3", "by", "-"]) for _ in range(250))
-    ratio = lambda x: spam.measure(x, [], mainbody.Kinds(), spam.Shapes())[2]
+    ratio = lambda x: spam.measure(x, [], mainbody.Kinds(), spam.Shapes())[3]
     assert ratio(text) > ratio(text[:4200]) + 1
 
 
 def test_no_length_or_word_limit_for_spam(spark):
-    prose = [(i, " ".join(f"The mill {i} has a wheel of {k} parts, and the river moves it by night." if (i + k) % 3 else f"Nobody in town {k} knows who built it, or why it stands there." for k in range(9))) for i in range(40)]
+    rng = random.Random(12)
+    names, verbs = ["mill", "river", "tower", "oven", "ferry", "lamp", "bridge"], ["sees", "moves", "holds", "finds", "leaves"]
+    ends = ["and nobody knows why.", "in the morning, or later.", "after all that was said about it.", "while it rains.", "as the old baker told us."]
+    prose = [(i, " ".join(f"{rng.choice(['The', 'A', 'Our'])} {rng.choice(names)} {rng.choice(verbs)} the {rng.choice(names)} {rng.choice(ends)}" for _ in range(9))) for i in range(40)]
     rows = [*prose, (100, "lamp price " * 40_000), (101, "lamp, lamp, lamp, lamp, lamp, lamp, lamp, lamp, lamp, lamp, lamp"), (102, "buy"), (103, "Home\nNews")]
     assert {r["page_id"] for r in spam.spam_pages(frame(spark, rows, "page_id long, text string")).collect()} == {100, 101}
 
