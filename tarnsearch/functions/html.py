@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tarnsearch.functions.entities import decode_entities
+from tarnsearch.functions.expr import let
 
 # Elements whose content is no text, and elements that separate words.
 SKIPPED = ("script", "style", "noscript", "template", "svg")
@@ -24,7 +25,8 @@ def collapse(col: Column) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute of a tag: quoted either way or bare; null when there is none."""
-    pattern = r"(?is)[\s\"']" + name + r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
+    # a quote that isn't closed takes the rest of the tag
+    pattern = r"(?is)[\s\"']" + name + r"\s*=\s*(?:\"([^\"]*?)(?:\"|>?\z)|'([^']*?)(?:'|>?\z)|([^\s>\"']+))"
     bare = F.regexp_replace(F.regexp_extract(tag, pattern, 3), "/+$", "")
     quoted = F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2))
     return F.when(tag.rlike(pattern), F.concat(quoted, bare))
@@ -42,16 +44,18 @@ def plain(markup: Column) -> Column:
 
 def extract(html: Column) -> Column:
     """STRUCT<title, text, links ARRAY<STRUCT<href, text>>, base, noindex, nofollow>; null for a null page."""
-    clean = visible(html)
+    return F.when(html.isNotNull(), let(visible(html), _extract))
+
+
+def _extract(clean: Column) -> Column:
     title = F.trim(decode_entities(collapse(F.regexp_replace(F.regexp_extract(clean, r"(?is)<title(?![a-z0-9])[^>]*>(.*?)(?:</title|\z)", 1), _TAG, ""))))
     text = decode_entities(F.trim(plain(clean)))
     anchors = F.filter(
         F.transform(
             F.regexp_extract_all(clean, F.lit(_ANCHOR), F.lit(1)),
-            lambda a: F.struct(
-                F.trim(decode_entities(attribute(F.regexp_extract(a, r"(?s)^(<[^>]*>)", 1), "href"))).alias("href"),
-                F.trim(decode_entities(plain(a))).alias("text"),
-                F.coalesce(F.lower(attribute(F.regexp_extract(a, r"(?s)^(<[^>]*>)", 1), "rel")), F.lit("")).alias("rel"),
+            lambda a: let(
+                F.regexp_extract(a, r"(?s)^(<[^>]*>)", 1),
+                lambda tag: F.struct(F.trim(decode_entities(attribute(tag, "href"))).alias("href"), F.trim(decode_entities(plain(a))).alias("text"), F.coalesce(F.lower(attribute(tag, "rel")), F.lit("")).alias("rel")),
             ),
         ),
         lambda s: s["href"].isNotNull() & ~s["rel"].contains("nofollow"),
@@ -61,11 +65,7 @@ def extract(html: Column) -> Column:
     metas = F.filter(F.regexp_extract_all(clean, F.lit(r"(?is)(<meta(?![a-z0-9])[^>]*>)"), F.lit(1)), lambda t: F.lower(F.coalesce(attribute(t, "name"), F.lit(""))) == "robots")
     rules = F.transform(metas, lambda t: F.lower(F.coalesce(attribute(t, "content"), F.lit(""))))
     has = lambda word: F.exists(rules, lambda r: r.contains(word) | r.contains("none"))
-    return F.when(
-        html.isNotNull(),
-        F.struct(title.alias("title"), text.alias("text"), links.alias("links"), base.alias("base"), has("noindex").alias("noindex"), has("nofollow").alias("nofollow")),
-    )
-
+    return F.struct(title.alias("title"), text.alias("text"), links.alias("links"), base.alias("base"), has("noindex").alias("noindex"), has("nofollow").alias("nofollow"))
 
 
 def page_title(title: Column, fallback: Column) -> Column:

@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tarnsearch.functions.expr import let
+
 # Query parameters that name a campaign and not a resource.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "gclid", "fbclid", "mc_eid")
 
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*):(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once; nested expressions stay small."""
-    return F.try_element_at(F.transform(F.array(value), body), F.lit(1))
-
-
 def _part(url: Column, n: int) -> Column:
     return F.regexp_extract(url, _PARTS, n)
 
@@ -30,14 +27,16 @@ def _reencode(pair: Column) -> Column:
 def clean_query(query: Column) -> Column:
     """Query without tracking parameters, the kept pairs encoded anew; null when nothing is left."""
     names = F.array(*[F.lit(t) for t in TRACKING])
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.array_contains(names, F.regexp_replace(F.split(p, "=")[0], "%5[fF]", "_")))
+    name = lambda p: F.when(p.contains("%"), F.coalesce(F.try_url_decode(F.split(p, "=")[0]), F.lit(""))).otherwise(F.split(p, "=")[0])
+    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.array_contains(names, name(p)))
     joined = F.array_join(F.transform(kept, _reencode), "&")
     return F.when(joined != "", joined)
 
 
 def remove_dots(path: Column) -> Column:
-    """Path without ``.`` and ``..`` segments."""
-    segments = F.split(path, "/")
+    """Path without ``.`` and ``..`` segments, encoded ones included."""
+    dots = lambda s: F.when(s.rlike(r"(?i)^(?:%2e|\.){1,2}$"), F.regexp_replace(s, "(?i)%2e", ".")).otherwise(s)
+    segments = F.when(path.rlike("(?i)%2e"), F.transform(F.split(path, "/"), dots)).otherwise(F.split(path, "/"))
     last = F.element_at(segments, -1)
     kept = F.aggregate(
         segments,
@@ -56,9 +55,18 @@ def encode_path(path: Column) -> Column:
     return F.when(path.rlike(special), F.array_join(F.transform(F.split(path, ""), one), "")).otherwise(path)
 
 
+def tidy(url: Column) -> Column:
+    """Without tabs and line breaks, which links don't hold; a backslash before the query is a slash."""
+    flat = F.regexp_replace(F.trim(url), r"[\t\n\r]", "")
+    at = F.regexp_instr(flat, F.lit("[?#]"))
+    front = F.when(at > 0, F.substr(flat, F.lit(1), at - 1)).otherwise(flat)
+    slashed = F.concat(F.translate(front, "\\", "/"), F.when(at > 0, F.substr(flat, at)).otherwise(""))
+    return F.trim(F.when(url.rlike(r"[\t\n\r\\]"), slashed).otherwise(url))
+
+
 def canonical(url: Column) -> Column:
     """Canonical form of an absolute URL: http(s) only, no fragment, no default port, no trailing host dot, no tracking."""
-    return _let(F.trim(url), _canonical)
+    return let(tidy(url), _canonical)
 
 
 def _canonical(url: Column) -> Column:
@@ -67,15 +75,15 @@ def _canonical(url: Column) -> Column:
     host = F.regexp_replace(F.regexp_replace(authority, r":\d*$", ""), r"\.$", "")
     port = F.regexp_extract(authority, r":(\d+)$", 1)
     default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | (port == "")
-    path = _let(remove_dots(_part(url, 3)), encode_path)
-    query = F.coalesce(_let(clean_query(_part(url, 4)), lambda q: F.concat(F.lit("?"), q)), F.lit(""))
+    path = let(remove_dots(_part(url, 3)), encode_path)
+    query = F.coalesce(let(clean_query(_part(url, 4)), lambda q: F.concat(F.lit("?"), q)), F.lit(""))
     whole = F.concat(scheme, F.lit("://"), host, F.when(default, "").otherwise(F.concat(F.lit(":"), port)), path, query)
     return F.when(scheme.isin("http", "https") & (host != ""), whole)
 
 
 def resolve(base: Column, href: Column) -> Column:
     """Absolute canonical form of ``href`` found on the page ``base``; null for fragments, other schemes and malformed links."""
-    return _let(F.struct(F.trim(href).alias("href"), F.trim(base).alias("base")), lambda x: _resolve(x["base"], x["href"]))
+    return let(F.struct(tidy(href).alias("href"), tidy(base).alias("base")), lambda x: _resolve(x["base"], x["href"]))
 
 
 def _resolve(base: Column, href: Column) -> Column:

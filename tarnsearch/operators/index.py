@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnsearch.functions.text import term_count, terms
 from tarnsearch.operators.scoring import FIELDS, WEIGHTS
+from tarnsearch.session import write_shared
 
 TOKEN_SCHEMA = "doc_id long, field tinyint, pos int, term string"
 
@@ -20,18 +21,16 @@ def with_terms(docs: DataFrame) -> DataFrame:
     return out.withColumn("length", F.size("title") + F.size("body") + F.size("anchor"))
 
 
-def lengths(docs: DataFrame) -> DataFrame:
-    """(doc_id, length): terms of each document over all fields, counted without making them (A4)."""
+def length_of(docs: DataFrame) -> Column:
+    """Terms of a document over all fields, counted without making them (A4)."""
     parts = [F.col("title")] if "title" in docs.columns else []
     parts += [F.col("body")] + ([F.array_join(F.col("anchors"), " ")] if "anchors" in docs.columns else [])
-    return docs.select("doc_id", sum((term_count(p) for p in parts[1:]), term_count(parts[0])).alias("length"))
+    return sum((term_count(p) for p in parts[1:]), term_count(parts[0]))
 
 
-def field_weight(field: Column) -> Column:
-    out = F.lit(0.0)
-    for name, number in FIELDS.items():
-        out = F.when(field == number, WEIGHTS[name]).otherwise(out)
-    return out
+def lengths(docs: DataFrame) -> DataFrame:
+    """(doc_id, length) (A4)."""
+    return docs.select("doc_id", length_of(docs).alias("length"))
 
 
 def tokens(fielded: DataFrame, *carry: str) -> DataFrame:
@@ -40,20 +39,73 @@ def tokens(fielded: DataFrame, *carry: str) -> DataFrame:
     return fielded.select("doc_id", *carry, per_field).select("doc_id", *carry, F.col("f.field").alias("field"), F.posexplode("f.ts").alias("pos", "term"))
 
 
-def postings(token_rows: DataFrame) -> DataFrame:
-    """(term, doc_id, field, tf, positions) with ascending positions (A1)."""
-    return token_rows.groupBy("term", "doc_id", "field").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+POSTING = "term string, doc_id long, length int, tf int, wtf double, fields array<struct<field:tinyint,positions:array<int>>>"
+#: Postings that leave a worker together; bounds its memory whatever the length of a document.
+_FLUSH = 65_536
+
+
+def _post(batches):
+    import pyarrow as pa
+
+    from tarnsearch.functions.text import py_terms
+
+    entry = pa.list_(pa.struct([("field", pa.int8()), ("positions", pa.list_(pa.int32()))]))
+    names = ["term", "doc_id", "length", "tf", "wtf", "fields"]
+    weights = [(n, WEIGHTS[f]) for f, n in FIELDS.items()]
+
+    def made(rows):
+        columns = list(zip(*rows)) or [()] * len(names)
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), entry)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    rows: list[tuple] = []
+    for b in batches:
+        for doc_id, *texts in zip(*(c.to_pylist() for c in b.columns)):
+            places: dict[str, list] = {}
+            length = 0
+            for (number, _), text in zip(weights, texts):
+                terms_of = py_terms(text) if text else ()
+                length += len(terms_of)
+                for pos, term in enumerate(terms_of):
+                    entries = places.setdefault(term, [])
+                    if not entries or entries[-1][0] != number:
+                        entries.append((number, []))
+                    entries[-1][1].append(pos)
+            for term, entries in places.items():
+                counts = [(n, len(at)) for n, at in entries]
+                rows.append((term, doc_id, length, sum(c for _, c in counts), sum(weights[n][1] * c for n, c in counts), entries))
+            if len(rows) >= _FLUSH:
+                yield made(rows)
+                rows = []
+    yield made(rows)
+
+
+def postings(docs: DataFrame) -> DataFrame:
+    """One row per term and document, fields inside, with ascending positions (A1-A3, T5).
+
+    A document's terms are counted where its row is, so no token crosses the network.  The document's
+    length travels with each posting: scoring needs no join to the documents.
+    """
+    texts = [F.col("title") if "title" in docs.columns else F.lit(None).cast("string"), F.col("body"), F.array_join("anchors", " ") if "anchors" in docs.columns else F.lit(None).cast("string")]
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), *[t.alias(f) for t, f in zip(texts, FIELDS)]).mapInArrow(_post, POSTING)
+
+
+def by_field(rows: DataFrame) -> DataFrame:
+    """(term, doc_id, field, tf, positions) of postings."""
+    inner = rows.select("term", "doc_id", F.inline("fields"))
+    return inner.select("term", "doc_id", F.col("field").cast("int").alias("field"), F.size("positions").alias("tf"), "positions")
 
 
-def weighted(token_rows: DataFrame, *carry: str) -> DataFrame:
-    """(term, doc_id, tf, wtf): raw and field-weighted frequency of a term in a document (A2, A3)."""
-    return token_rows.groupBy("term", "doc_id", *carry).agg(F.count("*").alias("tf"), F.sum(field_weight(F.col("field"))).alias("wtf"))
+def sorted_postings(rows: DataFrame) -> DataFrame:
+    """Postings in ranges of term and document, sorted: a term filter skips nearly all of the files, and a common term is many ranges."""
+    return rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
 
 
-def term_statistics(token_rows: DataFrame) -> DataFrame:
-    """(term, cf, df) over all fields (A5)."""
-    per_doc = token_rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    return per_doc.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+def term_statistics(fielded: DataFrame) -> DataFrame:
+    """(term, cf, df) over all fields (A5): occurrences and distinct terms of a document leave one pass and are added per term."""
+    whole = F.concat("title", "body", "anchor")
+    both = F.concat(F.transform(whole, lambda t: F.struct(t.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d"))), F.transform(F.array_distinct(whole), lambda t: F.struct(t.alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d"))))
+    return fielded.select(F.inline(both)).groupBy("term").agg(F.sum("c").alias("cf"), F.sum("d").alias("df"))
 
 
 def corpus_statistics(fielded: DataFrame) -> DataFrame:
@@ -81,7 +133,8 @@ def shard_totals(reports: DataFrame) -> DataFrame:
 
 def dense_ids(docs: DataFrame, order: str = "uri", name: str = "doc_id") -> DataFrame:
     """A number from 0 in the order of ``order`` without sorting in one task: ranges are numbered apart and shifted."""
-    parted = docs.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id())
+    # written once: both branches below have to see the same ranges
+    parted = write_shared(docs.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id()), "ranges")
     sizes = parted.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per partition
     shifts = F.broadcast(sizes.select("_part", "_first", before.alias("_shift")))

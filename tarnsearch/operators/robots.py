@@ -57,9 +57,9 @@ def parse(text: str, agent: str) -> Robots:
                 groups.append({"names": [], "rules": [], "delay": None})
             groups[-1]["names"].append(value.lower())
             naming = True
-        else:
+        elif key in ("allow", "disallow", "crawl-delay"):  # fields that aren't known leave a group open
             naming = False
-            if groups and key in ("allow", "disallow") and value:
+            if groups and key != "crawl-delay" and value:
                 groups[-1]["rules"].append((value, key == "allow"))
             elif groups and key == "crawl-delay":
                 try:

@@ -11,7 +11,7 @@ from tarnsearch.functions.text import py_terms
 from tarnsearch.operators.index import dense_ids
 from tarnsearch.operators.query import QUERY_SCHEMA, query_table
 from tarnsearch.operators.scoring import Params
-from tarnsearch.operators.search import scored, top
+from tarnsearch.operators.search import Index, batch_search
 
 _MASK = (1 << 64) - 1
 # Fixed values of the public SplitMix64 generator.
@@ -66,11 +66,12 @@ class KnownItems:
     skipped: int
 
 
-def known_items(docs: DataFrame, field: str = "body", wanted: int = 200, size: int = 6, seed: int = 1, depth: int = 100, params: Params = Params()) -> KnownItems:
+def known_items(docs: DataFrame, field: str = "body", wanted: int = 200, size: int = 6, seed: int = 1, depth: int = 100, params: Params = Params(), made: Index | None = None) -> KnownItems:
     """Search for spans taken from sampled documents; the document itself is the answer.
 
     The sample (at most ``wanted`` rows) is drawn by position in the order of doc_id; one generator draws
-    documents, a second with the same seed draws spans, for the documents in ascending order.
+    documents, a second with the same seed draws spans, for the documents in ascending order.  ``made`` is
+    an index of the documents, searched instead of their texts.
     """
     n = docs.count()
     places = sample(n, wanted, seed)[:wanted]
@@ -86,7 +87,7 @@ def known_items(docs: DataFrame, field: str = "body", wanted: int = 200, size: i
             continue
         queries[f"k{i}"], answers[f"k{i}"] = " ".join(words), i
     table = query_table(docs.sparkSession, queries) if queries else docs.sparkSession.createDataFrame([], QUERY_SCHEMA)
-    return KnownItems(top(scored(docs, table, params), docs, depth), queries, answers, skipped)
+    return KnownItems(batch_search(made or docs, table, depth, params), queries, answers, skipped)
 
 
 def known_item_report(items: KnownItems, k: int = 10) -> DataFrame:

@@ -1,11 +1,14 @@
 """Ranked search for many queries at once.
 
-Only tokens of terms that some query names leave the scan; lengths travel with them, so no join to the
-documents is needed for scoring.  Phrases are found by an equi-join on the start position.
+An :class:`Index` is built once and searched many times.  Only postings of terms that some query names are
+read; lengths travel with them, so no join to the documents is needed for scoring.  Phrases are found by an
+equi-join on the start position.  Shards are a column: one pass answers for all of them.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from tarnsearch.session import write_shared
 
 #: Query terms up to which the term filter is broadcast (rows of a term and two numbers).
 BROADCAST_TERMS = 500_000
+#: Query terms up to which they are literal values that Parquet filters by row group and page.
+LITERAL_TERMS = 1_000
 #: Digits to which scores are rounded before they are ordered, so that equal documents tie.
 SCORE_DIGITS = 9
 
@@ -24,10 +29,40 @@ def _side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_TERMS else df
 
 
-def statistics(docs: DataFrame) -> tuple[int, float]:
-    """Documents and their average length."""
-    row = index.corpus_statistics(index.lengths(docs)).first()
-    return row["total_docs"], row["average_length"]
+@dataclass(frozen=True)
+class Index:
+    """``postings`` (index.POSTING), ``stored`` (doc_id, uri, length) and ``ranks`` (doc_id, rank), or None.
+
+    ``kept`` tells whether the postings lie in files; otherwise they are made anew from the texts.
+    """
+
+    postings: DataFrame
+    stored: DataFrame
+    ranks: DataFrame | None = None
+    kept: bool = False
+
+    def with_ranks(self, ranks: DataFrame | None) -> Index:
+        return replace(self, ranks=best_ranks(ranks))
+
+
+def best_ranks(ranks: DataFrame | None) -> DataFrame | None:
+    return None if ranks is None else ranks.groupBy("doc_id").agg(F.max("rank").alias("rank"))
+
+
+def stored_table(docs: DataFrame) -> DataFrame:
+    uri = docs.select("doc_id", "uri", *[c for c in ("title", "body", "anchors") if c in docs.columns])
+    return uri.select("doc_id", "uri", index.length_of(uri).alias("length"))
+
+
+def of(docs: DataFrame | Index, ranks: DataFrame | None = None) -> Index:
+    """An index that isn't written: for a single search."""
+    return docs if isinstance(docs, Index) else Index(index.postings(docs), stored_table(docs), best_ranks(ranks))
+
+
+def build(docs: DataFrame, ranks: DataFrame | None = None) -> Index:
+    """Write postings and documents to the shared folder; the texts are read once."""
+    made = write_shared(index.postings(docs), "postings-made")
+    return Index(write_shared(index.sorted_postings(made), "postings"), write_shared(stored_table(docs), "stored"), best_ranks(ranks), True)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -52,68 +87,54 @@ def phrase_matches(token_rows: DataFrame, queries: DataFrame) -> DataFrame:
     return per_phrase.groupBy("qid", "doc_id").agg(F.count("*").alias("got")).join(wanted, "qid").where(F.col("got") == F.col("wanted")).select("qid", "doc_id")
 
 
-def scored(docs: DataFrame, queries: DataFrame, params: Params = Params(), ranks: DataFrame | None = None, stats: tuple[int, float, DataFrame] | None = None, min_score: float = 0.0) -> DataFrame:
-    """(qid, doc_id, score) of every match.
-
-    ``ranks`` (doc_id, rank) adds authority.  ``stats`` replaces the documents' own statistics by
-    (total_docs, average_length, table of term and df): how shards answer with global numbers.
-    """
-    params.checked()
-    fielded = index.with_terms(docs)
-    total, average = statistics(docs) if stats is None else stats[:2]
-    vocabulary, n_terms = _vocabulary(queries)
-    all_rows = index.tokens(fielded, "length")
-    # used for frequencies, scores and exclusions; without this every use would split the texts again
-    per_doc = write_shared(index.weighted(all_rows.join(_side(vocabulary, n_terms), "term", "left_semi"), "length"), "query-postings")
-    rows = all_rows.join(_side(phrase_words(queries).select("term").distinct(), n_terms), "term", "left_semi")
-    freqs = per_doc.groupBy("term").agg(F.count("*").alias("df")) if stats is None else stats[2]
-    return score_matches(per_doc, rows, queries, total, average, freqs, n_terms, params, ranks)
-
-
 def _vocabulary(queries: DataFrame) -> tuple[DataFrame, int]:
     """Every term that some query names or excludes, and their number."""
     named = query_terms(queries).select("term").unionByName(queries.select(F.explode("excluded").alias("term"))).distinct()
     return named, named.count()
 
 
-def score_matches(per_doc: DataFrame, token_rows: DataFrame, queries: DataFrame, total: int, average: float, freqs: DataFrame, n_terms: int, params: Params, ranks: DataFrame | None) -> DataFrame:
-    """Scores from (term, doc_id, length, wtf), token rows for the phrases, and term frequencies."""
-    weights = query_terms(queries).join(_side(freqs, n_terms), "term").select("qid", "term", idf(float(total), F.col("df")).alias("idf"))
-    part = F.col("idf") * saturation(params, F.col("wtf"), length_norm(params, F.col("length"), float(average)))
-    matched = per_doc.join(weights, "term").groupBy("qid", "doc_id").agg(F.sum(part).alias("base"))
+def scored(docs: DataFrame | Index, queries: DataFrame, params: Params = Params(), ranks: DataFrame | None = None, shards: int = 1, local: bool = False) -> DataFrame:
+    """(qid, shard, doc_id, score) of every match; ``shard`` is ``doc_id % shards``.
+
+    With ``local`` a shard scores by its own statistics instead of those of all.
+    """
+    params.checked()
+    made = of(docs, ranks)
+    vocabulary, n_terms = _vocabulary(queries)
+    if n_terms <= LITERAL_TERMS:
+        own = made.postings.where(F.col("term").isin([r[0] for r in vocabulary.collect()]))
+    else:
+        own = made.postings.join(_side(vocabulary, n_terms), "term", "left_semi")
+    own = own.withColumn("shard", F.pmod("doc_id", F.lit(shards)).cast("int"))
+    if not made.kept:  # used for frequencies, scores and exclusions; without this every use would split the texts again
+        own = write_shared(own, "query-postings")
+    keys = ["shard"] if local else []
+    sizes = made.stored.select(F.pmod("doc_id", F.lit(shards)).cast("int").alias("shard"), "length").groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average"))
+    # a row per shard, or one
+    statistics = F.broadcast(sizes) if local else None
+    total, average = (F.col("n"), F.col("average")) if local else map(F.lit, sizes.first())
+    freqs = own.groupBy("term", *keys).agg(F.count("*").alias("df"))
+    weights = query_terms(queries).join(_side(freqs, n_terms * max(1, shards if local else 1)), "term")
+    if local:
+        weights = weights.join(statistics, "shard")
+    weights = weights.select("qid", "term", *keys, *(["n", "average"] if local else []), idf(total.cast("double"), F.col("df")).alias("idf"))
+    part = F.col("idf") * saturation(params, F.col("wtf"), length_norm(params, F.col("length"), average.cast("double")))
+    matched = own.select("term", "doc_id", "shard", "length", "wtf").join(weights, ["term", *keys]).groupBy("qid", "shard", "doc_id").agg(F.sum(part).alias("base"), *([F.first("n").alias("n")] if local else []))
     with_phrases = queries.where(F.size("phrases") > 0)
     if with_phrases.limit(1).count():
+        words = phrase_words(with_phrases).select("term").distinct()
+        rows = own.join(_side(words, n_terms), "term", "left_semi").select("term", "doc_id", F.inline("fields")).select("term", "doc_id", "field", F.explode("positions").alias("pos"))
         phrased = with_phrases.select("qid").distinct().withColumn("_phrased", F.lit(True))
-        holds = phrase_matches(token_rows, with_phrases).withColumn("_holds", F.lit(True))
+        holds = phrase_matches(rows, with_phrases).withColumn("_holds", F.lit(True))
         matched = matched.join(phrased, "qid", "left").join(holds, ["qid", "doc_id"], "left").where(F.col("_phrased").isNull() | F.col("_holds")).drop("_phrased", "_holds")
     unwanted = queries.select("qid", F.explode("excluded").alias("term")).distinct()
     if unwanted.limit(1).count():
-        matched = matched.join(per_doc.join(unwanted, "term").select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_anti")
+        matched = matched.join(own.select("term", "doc_id").join(unwanted, "term").select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_anti")
     score = F.col("base")
-    if ranks is not None:
-        best = ranks.groupBy("doc_id").agg(F.max("rank").alias("rank"))
-        matched = matched.join(best, "doc_id", "left")
-        score = score * authority(params, F.coalesce(F.col("rank"), F.lit(0.0)), float(total))
-    return matched.select("qid", "doc_id", F.round(score, SCORE_DIGITS).alias("score"))
-
-
-def search_postings(postings: DataFrame, stored: DataFrame, queries: DataFrame, params: Params, k: int = 10) -> DataFrame:
-    """Batch search over stored postings (term, doc_id, field, tf, positions) and documents (doc_id, uri, length, rank).
-
-    The term filter reaches the scan; positions are read only when a query has a phrase.
-    """
-    row = stored.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average")).first()
-    vocabulary, n_terms = _vocabulary(queries)
-    if n_terms <= 1000:  # few terms: literal values that Parquet filters by row group
-        own = postings.where(F.col("term").isin([r[0] for r in vocabulary.collect()]))
-    else:
-        own = postings.join(_side(vocabulary, n_terms), "term", "left_semi")
-    weighted = own.groupBy("term", "doc_id").agg(F.sum(F.col("tf") * index.field_weight(F.col("field"))).alias("wtf"))
-    per_doc = weighted.join(stored.select("doc_id", "length"), "doc_id")
-    freqs = weighted.groupBy("term").agg(F.count("*").alias("df"))
-    rows = own.select("term", "doc_id", "field", F.explode("positions").alias("pos"))
-    scores = score_matches(per_doc, rows, queries, row["n"], row["average"], freqs, n_terms, params.checked(), stored.select("doc_id", "rank"))
-    return top(scores, stored, k)
+    if made.ranks is not None:
+        matched = matched.join(made.ranks, "doc_id", "left")
+        score = score * authority(params, F.coalesce(F.col("rank"), F.lit(0.0)), total.cast("double"))
+    return matched.select("qid", "shard", "doc_id", F.round(score, SCORE_DIGITS).alias("score"))
 
 
 def top(scores: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -125,35 +146,27 @@ def top(scores: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return named.withColumn("rank", F.row_number().over(order)).select("qid", "rank", "doc_id", "uri", F.round("score", 6).alias("score"))
 
 
-def batch_search(docs: DataFrame, queries: DataFrame, k: int = 10, params: Params = Params(), ranks: DataFrame | None = None) -> DataFrame:
-    return top(scored(docs, queries, params, ranks), docs, k)
+def batch_search(docs: DataFrame | Index, queries: DataFrame, k: int = 10, params: Params = Params(), ranks: DataFrame | None = None) -> DataFrame:
+    made = of(docs, ranks)
+    return top(scored(made, queries, params), made.stored, k)
 
 
-def search(docs: DataFrame, text: str, k: int = 10, params: Params = Params(), ranks: DataFrame | None = None) -> DataFrame:
+def search(docs: DataFrame | Index, text: str, k: int = 10, params: Params = Params(), ranks: DataFrame | None = None) -> DataFrame:
     """(rank, doc_id, uri, score) for one query text; nothing for an empty query or ``k`` of 0 (Q6)."""
-    q = parse(text)
+    q, spark = parse(text), (docs.stored if isinstance(docs, Index) else docs).sparkSession
     if k <= 0 or q.is_empty:
-        return docs.sparkSession.createDataFrame([], "rank int, doc_id long, uri string, score double")
-    return batch_search(docs, query_table(docs.sparkSession, {"q": text}), k, params, ranks).drop("qid")
+        return spark.createDataFrame([], "rank int, doc_id long, uri string, score double")
+    return batch_search(docs, query_table(spark, {"q": text}), k, params, ranks).drop("qid")
 
 
-def merged(tops: list[DataFrame], k: int) -> DataFrame:
-    """Top lists of several segments or shards put together and cut again (K3)."""
-    whole = tops[0]
-    for t in tops[1:]:
-        whole = whole.unionByName(t)
+def sharded_search(docs: DataFrame | Index, queries: DataFrame, shards: int, k: int = 10, params: Params = Params(), ranks: DataFrame | None = None, local: bool = False) -> DataFrame:
+    """Search by shard (``doc_id % shards``) and merge (K3): with statistics of all shards, or with each shard's own (``local``).
+
+    Every shard's best ``k`` are cut side by side in one pass, then all of them together.
+    """
+    made = of(docs, ranks)
+    cut = Window.partitionBy("qid", "shard").orderBy(F.desc("score"), F.asc("doc_id"))
+    kept = scored(made, queries, params, shards=shards, local=local).withColumn("_n", F.row_number().over(cut)).where(F.col("_n") <= k).drop("_n", "shard")
+    named = kept.join(made.stored.select("doc_id", "uri"), "doc_id").withColumn("score", F.round("score", 6))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("uri"), F.asc("doc_id"))
-    return whole.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def sharded_search(docs: DataFrame, queries: DataFrame, shards: int, k: int = 10, params: Params = Params(), ranks: DataFrame | None = None, local: bool = False) -> DataFrame:
-    """Search by shard (``doc_id % shards``) and merge: with statistics of all shards, or with each shard's own (``local``)."""
-    fielded = index.with_terms(docs)
-    stats = None
-    if not local:
-        total, average = statistics(docs)
-        terms_of = query_terms(queries).select("term").distinct()
-        df = index.tokens(fielded).join(F.broadcast(terms_of) if terms_of.count() <= BROADCAST_TERMS else terms_of, "term", "left_semi").select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
-        stats = (total, average, df)
-    parts = [docs.where(F.pmod("doc_id", F.lit(shards)) == s) for s in range(shards)]
-    return merged([top(scored(p, queries, params, ranks, stats), p, k) for p in parts], k)
+    return named.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "doc_id", "uri", "score")

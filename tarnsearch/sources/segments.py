@@ -1,21 +1,27 @@
-"""Immutable index segments as Parquet folders, their manifest, and tiered compaction."""
+"""Immutable index segments as Parquet folders, their manifest, and tiered compaction.
+
+A store lies on any file system the session reads.  Rows of a segment are written, copied and checked by the
+executors; the driver renames folders and replaces the manifest, which names the segments and changes last.
+"""
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import uuid
+from collections import Counter
 from dataclasses import asdict, dataclass, replace
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tarnsearch.operators import index
+from tarnsearch.operators import index, search
 from tarnsearch.operators.scoring import Params
+from tarnsearch.session import write_shared
+from tarnsearch.sources.folders import Folder
 
 #: The format written below; another number is refused.
-VERSION = 1
+VERSION = 2
 # Fixed values of the merge policy.
 TIER_FACTOR, SEGMENTS_PER_TIER, MAX_MERGED, MAX_TIER = 10, 8, 4 << 30, 63
 
@@ -55,47 +61,59 @@ def tier_of(size: int, factor: int = TIER_FACTOR) -> int:
     return tier
 
 
+def tier_histogram(sizes: list[int], factor: int = TIER_FACTOR) -> dict[int, int]:
+    """How many segments each tier holds."""
+    return dict(sorted(Counter(tier_of(x, factor) for x in sizes).items()))
+
+
 def next_merge(sizes: list[int], per_tier: int = SEGMENTS_PER_TIER, factor: int = TIER_FACTOR, max_merged: int = MAX_MERGED) -> list[int]:
-    """Places of the segments to merge next: the first ``per_tier`` of the lowest full tier; empty when none is due."""
-    per_tier = max(2, per_tier)
-    tiers: dict[int, list[int]] = {}
-    for place, size in enumerate(sizes):
-        if size < max_merged:
-            tiers.setdefault(tier_of(size, factor), []).append(place)
-    for _, places in sorted(tiers.items()):
-        if len(places) < per_tier:
-            continue
-        taken, total = [], 0
-        for place in places[:per_tier]:
-            if total + sizes[place] > max_merged:
-                break
-            taken.append(place)
-            total += sizes[place]
-        if len(taken) > 1:
-            return taken
-    return []
+    """Places of the segments to merge next, oldest first; empty when none is due (M2).
+
+    A merge takes the first ``per_tier`` segments of a tier that has so many, as far as their sizes add up to
+    at most ``max_merged``, and at least two; the lowest tier that gives such a merge is chosen.
+    """
+    wanted = max(2, per_tier)
+    ranked = sorted((tier_of(x, factor), place) for place, x in enumerate(sizes) if x < max_merged)
+    full = [t for t, n in sorted(Counter(t for t, _ in ranked).items()) if n >= wanted]
+    first = {t: [place for tier, place in ranked if tier == t][:wanted] for t in full}
+    fitting = ([p for p, total in zip(first[t], accumulate(sizes[p] for p in first[t])) if total <= max_merged] for t in full)
+    return next((places for places in fitting if len(places) > 1), [])
+
+
+#: Rows of the two parts of a segment, and what each row adds to the digest.
+PARTS = {"postings": ("term", "doc_id", "length", "tf", "wtf", "fields"), "docs": ("doc_id", "uri", "length", "rank")}
+
+
+def _digest_columns(part: str) -> list:
+    """Three sums over the rows of a part, whatever their order and files."""
+    h = F.xxhash64(*PARTS[part])
+    return [F.coalesce(F.bit_xor(h), F.lit(0)).alias("x"), F.coalesce(F.sum(F.pmod(h, F.lit(1 << 31))), F.lit(0)).alias("s"), F.count(F.lit(1)).alias("n")]
+
+
+def _digest_of(sums: dict[str, dict]) -> str:
+    """16 hex digits from the sums of both parts."""
+    out = 0
+    for n, part in enumerate(PARTS):
+        one = sums[part]
+        out ^= (one["x"] ^ (one["s"] * 31 + one["n"])) * (2 * n + 1)
+    return f"{out & (1 << 64) - 1:016x}"
 
 
 class Store:
-    """A folder of segments on a file system the driver can reach."""
+    """A folder of segments."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.removeprefix("file://")
-        os.makedirs(self.root, exist_ok=True)
+        self.spark, self.folder = spark, Folder(spark, root)
 
     def path(self, name: str, part: str = "") -> str:
-        return os.path.join(self.root, name, part).rstrip("/")
+        return self.folder.path(name, part)
 
     def manifest(self) -> Manifest:
-        with open(self.path("manifest.json")) as f:
-            return Manifest.decode(f.read())
+        return Manifest.decode(self.folder.read_text("manifest.json"))
 
     def publish(self, manifest: Manifest) -> None:
         """The manifest changes last and in one step."""
-        temporary = self.path(f"manifest.{uuid.uuid4().hex}")
-        with open(temporary, "w") as f:
-            f.write(manifest.encode())
-        os.replace(temporary, self.path("manifest.json"))
+        self.folder.replace_text("manifest.json", manifest.encode())
 
     def initialise(self, params: Params = Params()) -> Manifest:
         manifest = Manifest(params.checked())
@@ -103,37 +121,36 @@ class Store:
         return manifest
 
     def write(self, docs: DataFrame, ranks: DataFrame | None = None) -> Entry:
-        """Write documents (doc_id, uri, title, body, anchors) as a segment named by its digest."""
-        fielded = index.with_terms(docs).join(docs.select("doc_id", "uri"), "doc_id")
-        listing = index.postings(index.tokens(fielded))
-        table = fielded.select("doc_id", "uri", F.col("length"))
+        """Write documents (doc_id, uri, title, body, anchors) as a segment named by its digest; texts are read once for the postings."""
+        made = write_shared(index.postings(docs), "postings-made")
+        table = search.stored_table(docs)
         if ranks is not None:
-            table = table.join(ranks.groupBy("doc_id").agg(F.max("rank").alias("rank")), "doc_id", "left")
-        table = table.withColumn("rank", F.coalesce(F.col("rank"), F.lit(0.0)) if ranks is not None else F.lit(0.0))
-        return self._write(listing, table)
+            table = table.join(search.best_ranks(ranks), "doc_id", "left")
+        return self._write(made, table.withColumn("rank", F.coalesce(F.col("rank"), F.lit(0.0)) if ranks is not None else F.lit(0.0)))
 
     def _write(self, postings: DataFrame, docs: DataFrame) -> Entry:
         temporary = f".tmp-{uuid.uuid4().hex}"
-        # sorted by term, so the row groups' ranges let a term filter skip nearly all of a segment
-        postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id", "field").write.option("parquet.bloom.filter.enabled#term", "true").parquet(self.path(temporary, "postings"))
-        docs.write.parquet(self.path(temporary, "docs"))
-        digest, documents = self._digest(temporary), self.spark.read.parquet(self.path(temporary, "docs")).count()
+        sums = self._put(temporary, {"postings": index.sorted_postings(postings), "docs": docs})
+        digest = _digest_of(sums)
         name = f"seg-{digest}"
-        if os.path.exists(self.path(name)):
-            shutil.rmtree(self.path(temporary))
+        if self.folder.exists(name):
+            self.folder.delete(temporary)
         else:
-            os.replace(self.path(temporary), self.path(name))
-        return Entry(name, digest, documents, self._size(name))
-
-    def _size(self, name: str) -> int:
-        return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(self.path(name)) for f in files)
-
-    def _digest(self, name: str) -> str:
-        """16 hex digits that depend on the rows and not on their order or files."""
-        rows = self.spark.read.parquet(self.path(name, "postings")).select(F.xxhash64("term", "doc_id", "field", "tf", "positions").alias("h"))
-        docs = self.spark.read.parquet(self.path(name, "docs")).select(F.xxhash64("doc_id", "uri", "length", "rank").alias("h"))
-        both = rows.unionByName(docs).agg(F.bit_xor("h").alias("x"), F.sum(F.pmod("h", F.lit(1 << 31))).alias("s"), F.count("*").alias("n")).first()
-        return f"{((both['x'] or 0) ^ ((both['s'] or 0) * 31 + both['n'])) & (1 << 64) - 1:016x}"
+            self.folder.rename(temporary, name)
+        return Entry(name, digest, sums["docs"]["n"], self.folder.size(name))
+
+    def _put(self, name: str, parts: dict[str, DataFrame]) -> dict[str, dict]:
+        """Write both parts; their digests are taken in the same pass."""
+        sums = {}
+        for part, rows in parts.items():
+            seen = Observation()
+            observed = rows.select(*PARTS[part]).observe(seen, *_digest_columns(part))
+            observed.write.option("parquet.bloom.filter.enabled#term", str(part == "postings").lower()).parquet(self.path(name, part))
+            sums[part] = seen.get
+        return sums
+
+    def _sums(self, name: str) -> dict[str, dict]:
+        return {part: self.spark.read.parquet(self.path(name, part)).agg(*_digest_columns(part)).first().asDict() for part in PARTS}
 
     def append(self, docs: DataFrame, ranks: DataFrame | None = None) -> Manifest:
         """One flush: a new segment at the end of the manifest."""
@@ -142,22 +159,46 @@ class Store:
         self.publish(manifest)
         return manifest
 
+    def _need(self, names: list[str]) -> None:
+        for n in names:
+            if not self.folder.exists(n):
+                raise FileNotFoundError(f"segment {n} is missing")
+
     def verify(self) -> None:
         """Recompute every digest; a missing or altered segment is an error (M6)."""
         for e in self.manifest().entries:
-            if not os.path.isdir(self.path(e.name)):
-                raise FileNotFoundError(f"segment {e.name} is missing")
-            if self._digest(e.name) != e.digest:
+            self._need([e.name])
+            if _digest_of(self._sums(e.name)) != e.digest:
                 raise ValueError(f"segment {e.name} has changed")
 
+    def rebuild(self, params: Params = Params()) -> Manifest:
+        """A manifest made anew from the segments that lie in the folder, in the order of their names (M7).
+
+        Every segment is read and not trusted; ``.tmp-`` folders of writes that didn't end are left out.
+        """
+        entries = []
+        for name in (n for n in self.folder.names() if n.startswith("seg-")):
+            sums = self._sums(name)
+            entries.append(Entry(name, _digest_of(sums), sums["docs"]["n"], self.folder.size(name)))
+        if not entries:
+            raise FileNotFoundError(f"{self.folder.root} holds no segments")
+        manifest = Manifest(params.checked(), tuple(entries))
+        self.publish(manifest)
+        return manifest
+
     def read(self, part: str, names: list[str] | None = None) -> DataFrame:
         """``postings`` or ``docs`` of the segments; all files have to be there."""
         names = names if names is not None else [e.name for e in self.manifest().entries]
-        for n in names:
-            if not os.path.isdir(self.path(n)):
-                raise FileNotFoundError(f"segment {n} is missing")
+        self._need(names)
+        if not names:
+            kinds = {"postings": index.POSTING, "docs": "doc_id long, uri string, length int, rank double"}
+            return self.spark.createDataFrame([], kinds[part])
         return self.spark.read.parquet(*[self.path(n, part) for n in names])
 
+    def index(self, names: list[str] | None = None) -> search.Index:
+        docs = self.read("docs", names)
+        return search.Index(self.read("postings", names), docs.select("doc_id", "uri", "length"), search.best_ranks(docs), True)
+
     def step(self, per_tier: int = SEGMENTS_PER_TIER, factor: int = TIER_FACTOR, max_merged: int = MAX_MERGED) -> bool:
         """One merge if one is due: the new segment is written first and takes the place of the first merged one; old files go last."""
         manifest = self.manifest()
@@ -171,7 +212,7 @@ class Store:
         self.publish(replace(manifest, entries=tuple(kept)))
         for e in old:
             if e.name != entry.name:
-                shutil.rmtree(self.path(e.name))
+                self.folder.delete(e.name)
         return True
 
     def compact(self, **policy) -> int:
@@ -183,34 +224,61 @@ class Store:
     def orphans(self) -> list[str]:
         """Segment folders that the manifest doesn't name."""
         known = {e.name for e in self.manifest().entries}
-        return sorted(n for n in os.listdir(self.root) if (n.startswith("seg-") and n not in known) or n.startswith(".tmp-"))
+        return [n for n in self.folder.names() if (n.startswith("seg-") and n not in known) or n.startswith(".tmp-")]
 
     def sync_from(self, other: Store) -> list[str]:
-        """Copy the segments that are missing here, check them, and take over the manifest last."""
+        """Copy the segments that are missing here, check them, and take over the manifest last (R4); the executors copy."""
         theirs, copied = other.manifest(), []
         for e in theirs.entries:
-            if os.path.isdir(self.path(e.name)):
+            if self.folder.exists(e.name):
                 continue
             temporary = f".tmp-{uuid.uuid4().hex}"
-            shutil.copytree(other.path(e.name), self.path(temporary))
-            if self._digest(temporary) != e.digest:
-                shutil.rmtree(self.path(temporary))
+            if _digest_of(self._put(temporary, {part: other.read(part, [e.name]) for part in PARTS})) != e.digest:
+                self.folder.delete(temporary)
                 raise ValueError(f"segment {e.name} arrived damaged")
-            os.replace(self.path(temporary), self.path(e.name))
+            self.folder.rename(temporary, e.name)
             copied.append(e.name)
         self.publish(theirs)
         return copied
 
     def statistics(self) -> DataFrame:
-        """One row: documents, terms, average_length and the parameters."""
-        p = self.manifest().params
+        """One row: segments, documents, terms, average_length and the parameters (S13, A17); terms count once over all segments."""
+        manifest = self.manifest()
         terms = self.read("postings").select("term").distinct().count()
-        docs = self.read("docs").agg(F.count("*").alias("documents"), F.lit(terms).alias("terms"), F.avg("length").alias("average_length"))
-        return docs.withColumns({n: F.lit(v) for n, v in asdict(p).items()})
+        docs = self.read("docs").agg(F.lit(len(manifest.entries)).alias("segments"), F.count("*").alias("documents"), F.lit(terms).alias("terms"), F.avg("length").alias("average_length"))
+        return docs.withColumns({n: F.lit(v) for n, v in asdict(manifest.params).items()})
+
+
+class Served:
+    """A store as a searcher sees it: one manifest until it is told to look again."""
+
+    def __init__(self, store: Store, upstream: Store | None = None):
+        self.store, self.upstream = store, upstream
+        self.manifest = store.manifest()
+
+    def refresh(self) -> dict[str, int]:
+        """Fetch what the upstream has, then take the newest manifest; one that names a missing segment leaves the old one in use."""
+        fetched = self.store.sync_from(self.upstream) if self.upstream else []
+        fresh = self.store.manifest()
+        self.store._need([e.name for e in fresh.entries])
+        self.manifest = fresh
+        return {"fetched": len(fetched), "segments": len(fresh.entries), "documents": sum(e.documents for e in fresh.entries)}
+
+    def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        return search_segments(self.store, queries, k, [e.name for e in self.manifest.entries])
+
+
+def notify(served: list[Served]) -> list[dict[str, int] | str]:
+    """Have all of them refresh; one that fails says why and doesn't stop the others."""
+    answers: list[dict[str, int] | str] = []
+    for s in served:
+        try:
+            answers.append(s.refresh())
+        except Exception as e:  # noqa: BLE001 - whatever the file system or Spark raises
+            answers.append(f"{type(e).__name__}: {e}")
+    return answers
 
 
 def search_segments(store: Store, queries: DataFrame, k: int = 10, names: list[str] | None = None) -> DataFrame:
     """Batch search over stored postings; only the rows of the queries' terms are read."""
-    from tarnsearch.operators.search import search_postings
-
-    return search_postings(store.read("postings", names), store.read("docs", names), queries, store.manifest().params, k)
+    return search.batch_search(store.index(names), queries, k, store.manifest().params)

@@ -39,7 +39,7 @@ def test_what_is_no_text(page):
 
 
 def test_links(page):
-    for html in ('<a href="/x">t</a>', "<a href='/x'>t</a>", "<a href=/x>t</a>", '<a  class="c"  href = "/x" >t</a>', '<a data-href="/no" href="/x">t</a>', "<a href=/x>t"):
+    for html in ('<a href="/x">t</a>', "<a href='/x'>t</a>", "<a href=/x>t</a>", '<a  class="c"  href = "/x" >t</a>', '<a data-href="/no" href="/x">t</a>', "<a href=/x>t", '<a href="/x>t</a>', "<a href='/x>t</a>", '<a href="/x" class="c>t</a>'):
         assert [(x["href"], x["text"]) for x in page(html)["links"]] == [("/x", "t")], html
     p = page('<a href="/a?x=1&amp;y=2">Ca&ntilde;&oacute;n</a><a>none</a><a href="/paid" rel="nofollow ad">n</a><a href="/b">uno<a href="/c">dos</a><abbr href="/z">q</abbr>')
     assert [(x["href"], x["text"]) for x in p["links"]] == [("/a?x=1&y=2", "Cañón"), ("/b", "uno"), ("/c", "dos")]

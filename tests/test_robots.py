@@ -22,6 +22,7 @@ AGENT = "TarnBot/1.0 (+http://t.example)"
         ("User-agent: *\nDisallow: /one\nUser-agent: *\nDisallow: /two", ["/one"], ["/two"]),
         ("User-agent: *\nDisallow: /*.pdf$", ["/a.pdf.html", "/a.html", "/a.pdf/b.pdf"], ["/d/a.pdf"]),
         ("User-agent: *\nDisallow: /search*\nDisallow: /*?q=", ["/other"], ["/search", "/search?q=x", "/z?q=1"]),
+        ("User-agent: tarnbot\nHost: x\nUser-agent: other\nDisallow: /x", ["/y"], ["/x"]),
         ("# c\nUser-agent: * # c\n\nDisallow: /p # c\n!!! junk", ["/q"], ["/p"]),
     ],
 )

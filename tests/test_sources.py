@@ -75,25 +75,46 @@ def test_one_and_many_segments_answer_alike(spark, tmp_path):
     parts.verify()
     copy = Store(spark, str(tmp_path / "copy"))
     assert copy.sync_from(parts) and copy.sync_from(parts) == [] and answer(copy) == direct
-    assert whole.statistics().first()["documents"] == 40
+    stats = whole.statistics().first()
+    assert (stats["segments"], stats["documents"]) == (1, 40)
+    # a manifest that got lost is made again from the folders
+    held = copy.manifest()
+    copy.folder.delete("manifest.json")
+    again = copy.rebuild()
+    assert {(e.name, e.digest, e.documents) for e in again.entries} == {(e.name, e.digest, e.documents) for e in held.entries} and answer(copy) == direct
+    with pytest.raises(FileNotFoundError):
+        Store(spark, str(tmp_path / "nothing")).rebuild()
+
+
+def test_searchers_look_again_when_told(spark, tmp_path):
+    queries = query_table(spark, {"a": "word3 shared"})
+    source, replica = Store(spark, f"file:{tmp_path}/source"), Store(spark, f"file:{tmp_path}/replica")
+    for store in (source, replica):
+        store.initialise()
+    source.append(docs_of(spark, range(10)))
+    served, broken = segments.Served(replica, source), segments.Served(replica, Store(spark, f"file:{tmp_path}/none"))
+    assert served.search(queries).count() == 0
+    answers = segments.notify([served, broken])
+    assert answers[0] == {"fetched": 1, "segments": 1, "documents": 10} and "FileNotFoundError" in answers[1]
+    assert served.search(queries).count() == 10 and served.refresh()["fetched"] == 0
+    assert segments.tier_histogram([5, 7, 50, 5000]) == {0: 2, 1: 1, 3: 1}
 
 
 def test_torn_and_altered_indexes_are_refused(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     store.initialise(Params(k1=1.0))
     store.append(docs_of(spark, range(5)))
-    text = store.manifest().encode()
+    first = store.manifest()
+    text = first.encode()
     with pytest.raises(ValueError, match="incomplete"):
         Manifest.decode(text.replace('"count": 1', '"count": 2'))
     with pytest.raises(ValueError, match="another version"):
-        Manifest.decode(text.replace('"version": 1', '"version": 9'))
+        Manifest.decode(text.replace('"version": 2', '"version": 9'))
     name = store.manifest().entries[0].name
     spark.createDataFrame([(99, "u", 1, 0.0)], "doc_id long, uri string, length int, rank double").write.mode("append").parquet(store.path(name, "docs"))
     with pytest.raises(ValueError, match="changed"):
         store.verify()
-    import shutil
-
-    shutil.rmtree(store.path(name))
+    store.folder.delete(name)
     with pytest.raises(FileNotFoundError):
         store.read("docs")
 

@@ -23,6 +23,13 @@ CASES = {
     "http://example.com:8080/x": "http://example.com:8080/x",
     "/x?utm_source=a&utm_campaign=b": "https://example.com/x",
     "/x?page=2&gclid=1&q=a%20b&flag": "https://example.com/x?page=2&q=a+b&flag=",
+    "/a\tb\nc": "https://example.com/abc",
+    "/a/%2e%2E/b/.%2e/%2e/c": "https://example.com/c",
+    "\\x\\y?q=\\z": "https://example.com/x/y?q=%5Cz",
+    "https:\\\\example.com\\x": "https://example.com/x",
+    "/x?%75tm_source=a&utm%5fterm=b&page=2": "https://example.com/x?page=2",
+    "/x?q=%zz&p=1": "https://example.com/x?q=%25zz&p=1",
+    "/{..}/x": "https://example.com/%7B..%7D/x",
     "/à b": "https://example.com/%C3%A0%20b",
 }
 
