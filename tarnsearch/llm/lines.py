@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import re
-
-BLANKS = re.compile(r"[\s ]+")
+from functools import lru_cache
 
 # Navigation labels in the four languages of the crawl, without case.
 NAV_LABELS = frozenset(
@@ -43,16 +42,17 @@ _CUES = [
     ("contact", r"^questions\?\s|write to \S+@\S+|\bcall extension \d+|^(fragen|preguntas)\?\s|^des questions\s?\?\s|^(tel|phone|telefon|e-?mail|fax)\s?[:.]"),
     ("top", r"^(back to top|nach oben|volver arriba|haut de page|retour en haut|to the top|zum seitenanfang)$"),
 ]
-_CUES = [(k, re.compile(p, re.I)) for k, p in _CUES]
+# patterns that only fit at the start of a line aren't tried elsewhere
+_CUES = [(k, re.compile(p, re.I).match if k in ("share", "top") else re.compile(p, re.I).search) for k, p in _CUES]
 # Words without which none of the patterns above and below can match; most lines end here.
 _HINTS = frozenset(
     """cookie cookies trackers store speichert conserve guarda sets privacy share shared send liked tweet follow folgen teilen mal partager partagé suivez comparte compartido
     sigue tell pass advertisement advertisements sponsored anzeige werbung publicidad publicité subscribe adverts free log get newsletter suscríbete recevez abonnez sign abonnieren
     c copyright rights rechte droits derechos responsible haftet responde décline reproduction consent trademarks prices copied reuse impressum mentions aviso terms questions
-    fragen preguntas write call tel phone telefon e mail email fax back nach volver haut retour top seitenanfang
-    you related read most more in see meistgelesen mehr lesen das à sur les lo te más""".split()
+    fragen preguntas write call tel phone telefon mail email fax back nach volver haut retour top seitenanfang""".split()
 )
-_TOPICS = _HINTS - frozenset("c log get free pass tell call write you in see read more most to das à sur les lo te más mal mehr back nach e top line terms questions consent start retour haut".split())
+_TOPICS = _HINTS - frozenset("c log get free pass tell call write mal back nach top terms questions consent retour haut".split())
+_POINTS = frozenset("you related read most more in see meistgelesen mehr lesen das à sur les lo te más".split())
 _WORDS = re.compile(r"\w+")
 _SENTENCES = re.compile(r"(?<=[.!?;])\s+")
 #: Characters from which a line is read sentence by sentence.
@@ -63,12 +63,12 @@ _POINTER = re.compile(
     re.I,
 )
 _BYLINE = re.compile(
-    r"^((words|text|texte|redacción|author|autor|auteur)\s?:|(by|posted by|written by|von|par|por|redaktion)\s+\w)|\breports$|\|\s*staff writer$|^(geschrieben|escrito|écrit)\b",
+    r"^((words|text|texte|redacción|author|autor|auteur)\s?:|(by|posted by|written by|von|par|por|redaktion)\s+\w|(geschrieben|escrito|écrit)\b)|.*(\breports|\|\s*staff writer)$",
     re.I,
 )
 MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december|januar|februar|märz|mai|juni|juli|oktober|dezember|janvier|février|mars|avril|juin|juillet|août|septembre|octobre|novembre|décembre|enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|diciembre"
 _DATE = re.compile(rf"^(published|last updated|updated|stand|publié le|actualizado|publicado|veröffentlicht)\b[^.]{{0,40}}\d|^\d{{1,2}}\.?\s+(de\s+)?({MONTHS})\b|^({MONTHS})\s+\d{{1,2}}\b|^\d{{4}}-\d\d-\d\d\b|^le \d{{1,2}} ({MONTHS})", re.I)
-_SENTENCE_END = re.compile(r"[.!?…][\"'»”)\]]*$")
+_ENDS = frozenset(".!?…")
 _LIST = re.compile(r"^([-–•*+]|\d{1,3}[.)])\s+\S")
 _CODE = re.compile(r"[;{}]\s*$|^(let|const|var|def|fn|export|import|return|if|for|#include|\$)\b.*[=({]|\w+\.\w+\([^)]*\)|^\s*</?\w+|^\S+\s*=\s*\S+$")
 _BREADCRUMB_SEP = re.compile(r"\s*[>›»]\s*")
@@ -77,8 +77,18 @@ _BREADCRUMB_SEP = re.compile(r"\s*[>›»]\s*")
 SURROUNDINGS = frozenset({"nav", "cookie", "share", "advert", "legal", "contact", "top", "pointer", "pointer_to"})
 
 
+def ends_sentence(line: str) -> bool:
+    return line.rstrip("\"'»”)]")[-1:] in _ENDS
+
+
+@lru_cache(maxsize=8)
+def words_of(line: str) -> list[str]:
+    """Words of a line in lower case; several readers of one line share them."""
+    return _WORDS.findall(line.lower())
+
+
 def clean(line: str) -> str:
-    return BLANKS.sub(" ", line).strip()
+    return " ".join(line.split())
 
 
 def _covered(words: list[str]) -> bool:
@@ -118,7 +128,7 @@ def navigation(line: str) -> bool:
 def cue(line: str) -> str | None:
     """Surroundings named by the words of a line that is one statement."""
     for name, pattern in _CUES:
-        if pattern.search(line):
+        if pattern(line):
             return name
     m = _POINTER.match(line)
     return ("pointer_to" if m["rest"] else "pointer") if m else None
@@ -138,25 +148,25 @@ def _spoken(line: str) -> str | None:
 
 def kind(line: str) -> str:
     """Kind of a cleaned, non-empty line by its own words."""
-    long = len(line) > STATEMENT
-    if "©" in line or not (_TOPICS if long else _HINTS).isdisjoint(_WORDS.findall(line.lower())):
+    long, words = len(line) > STATEMENT, words_of(line)
+    if "©" in line or words and words[0] in _POINTS or not (_TOPICS if long else _HINTS).isdisjoint(words):
         name = _spoken(line) if long else cue(line)
         if name:
             return name
     if navigation(line):
         return "nav"
     if len(line) <= 90:
-        if _BYLINE.search(line) and not _SENTENCE_END.search(line):
+        if _BYLINE.match(line) and not ends_sentence(line):
             return "byline"
-        if _DATE.search(line):
+        if _DATE.match(line):
             return "date"
-    if _SENTENCE_END.search(line) and (len(line) > 60 or line.count(" ") >= 3):
+    if ends_sentence(line) and (len(line) > 60 or line.count(" ") >= 3):
         return "sentence"
     if _LIST.match(line):
         return "list"
     if _CODE.search(line):
         return "code"
-    return "sentence" if _SENTENCE_END.search(line) else "short"
+    return "sentence" if ends_sentence(line) else "short"
 
 
 class Kinds:

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from tarnsearch.functions.text import host
 from tarnsearch.llm.common import one_row_per_id, small_side
-from tarnsearch.llm.lines import MONTHS, SURROUNDINGS, Kinds, clean
+from tarnsearch.llm.lines import MONTHS, SURROUNDINGS, Kinds, clean, words_of
 from tarnsearch.session import write_shared
 
 PLACEHOLDER = re.compile(
@@ -42,7 +42,6 @@ _MENTION = re.compile(
 )
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _SUFFIX = re.compile(r"\s+[|\-–:]\s+[^|]{1,40}$")
-_TOKENS = re.compile(r"\w+")
 
 # Fixed value: the usual filler passage of typesetters, without blanks.
 _PASSAGE = """loremipsumdolorsitametconsecteturadipiscingelitseddoeiusmodtemporincididuntutlaboreetdoloremagnaaliquautenimadminimveniamquisnostrudexercitationullamcolaborisnisiutaliquipexeacommodoconsequat
@@ -105,7 +104,7 @@ def filler(line: str) -> bool:
 
 def rule(line: str) -> str | None:
     """Name of the phrase rule that fits a whole line, however long; a message only where the form recurs widely."""
-    tokens = _TOKENS.findall(line.lower())
+    tokens = words_of(line)
     known = set(tokens)
     if known.isdisjoint(_HINTS):
         if tokens and tokens[0] == "at" and mask(line).startswith("at @"):

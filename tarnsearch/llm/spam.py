@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,7 +42,7 @@ _FUNCTION_WORDS = {
     "fr": frozenset("le la les du des et en au avec sans sous un une est pas que dans pour par selon après".split()),
     "es": frozenset("el la los las del y en al con sin por tras según un una es que no para antes".split()),
 }
-_ALL_FUNCTION_WORDS = frozenset().union(*FUNCTION_WORDS.values())
+_ALL_FUNCTION_WORDS = frozenset().union(*FUNCTION_WORDS.values(), *_FUNCTION_WORDS.values())
 _PIECES = re.compile(r"https?://\S+|\w+|[^\w\s]")
 _NAMES = re.compile(r"\b[A-ZÄÖÜÀÉÈ]\w*|\d+")
 _SENTENCES = re.compile(r"(?<=[.!?…])\s+")
@@ -49,31 +50,25 @@ _SENTENCES = re.compile(r"(?<=[.!?…])\s+")
 PRIORS, PRIOR_SPREAD = {"ratio": (0.6, -0.12), "shape": (0.55, -0.245)}, 0.1
 
 
-class Shapes:
+class Shapes(dict):
     """The shape of a line; classes of words are remembered in a bounded table."""
 
-    def __init__(self, most: int = 200_000):
-        self.known: dict[str, str] = {}
-        self.most = most
+    most = 200_000
+
+    def __missing__(self, t: str) -> str:
+        low = t.lower()
+        c = self[t] = low if low in _ALL_FUNCTION_WORDS else "#" if t.isdigit() else "w" if t[0].isalnum() and "://" not in t else "u" if len(t) > 1 else t
+        return c
 
     def __call__(self, line: str) -> str:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        out = []
-        for t in _PIECES.findall(line):
-            c = known.get(t)
-            if c is None:
-                low = t.lower()
-                c = known[t] = low if low in _ALL_FUNCTION_WORDS else "#" if t.isdigit() else "w" if t[0].isalnum() and "://" not in t else "u" if len(t) > 1 else t
-            out.append(c)
-        return " ".join(out)
+        if len(self) > self.most:
+            self.clear()
+        return " ".join([self[t] for t in _PIECES.findall(line)])
 
 
 def measure(text: str, link_texts: list[str], kinds: Kinds, shapes: Shapes) -> tuple[int, str, float, float, float, float]:
     """words, language, logarithm of the blocks' ratio for the text and for its shape, share of words in distinct sentences, log2 of bytes."""
     content, words, sentence_words = [], 0, 0
-    counts = dict.fromkeys(_FUNCTION_WORDS, 0)
     linked = {clean(t).lower() for t in link_texts if t}
     forms: set[str] = set()
     for raw in text.split("\n"):
@@ -81,29 +76,27 @@ def measure(text: str, link_texts: list[str], kinds: Kinds, shapes: Shapes) -> t
         if not line or (k := kinds(line)) in SURROUNDINGS or k in ("byline", "date"):
             continue
         content.append(line)
-        low = line.lower()
-        own = low.split()
-        words += len(own)
-        for lang, known in _FUNCTION_WORDS.items():
-            counts[lang] += sum(map(known.__contains__, own))
-        if low in linked:
+        n = line.count(" ") + 1
+        words += n
+        if linked and line.lower() in linked:
             continue
-        ends = sum(map(line.count, ".!?…"))
-        if k == "sentence" and len(own) <= 45 * ends:
-            for sentence in _SENTENCES.split(line):
-                form = _NAMES.sub("~", sentence)
+        if k == "sentence" and n <= 45 * sum(map(line.count, ".!?…")):
+            for form in _SENTENCES.split(_NAMES.sub("~", line)):
                 if form not in forms:
                     forms.add(form)
-                    sentence_words += sentence.count(" ") + 1
-        elif k == "code" or k == "list" and _functional(own) or filler(line) or k != "sentence" and (unfilled(line) or rule(line)):
-            sentence_words += len(own)
-    data, shape = "\n".join(content).encode(), "\n".join(map(shapes, content)).encode()
+                    sentence_words += form.count(" ") + 1
+        elif k == "code" or k == "list" and _functional(line.lower().split()) or filler(line) or k != "sentence" and (unfilled(line) or rule(line)):
+            sentence_words += n
+    formed = "\n".join(map(shapes, content))
+    data, shape = "\n".join(content).encode(), formed.encode()
     packed = [sum(len(zlib.compress(b, 6)) for b in _blocks(x)) for x in (data, shape)]
     if packed[1] >= len(shape):  # too little to repeat anything
         return 0, "", 0.0, 0.0, 1.0, 0.0
+    tally = Counter(formed.split())
+    counts = {lang: sum(tally[w] for w in known) for lang, known in _FUNCTION_WORDS.items()}
     lang = max(counts, key=counts.get)
-    ratio, formed = (math.log(p / len(data)) for p in packed)
-    return words, lang if counts[lang] >= 0.05 * words else "", ratio, formed, sentence_words / max(1, words), math.log2(len(data))
+    ratio, shaped = (math.log(p / len(data)) for p in packed)
+    return words, lang if counts[lang] >= 0.05 * words else "", ratio, shaped, sentence_words / max(1, words), math.log2(len(data))
 
 
 def _blocks(data: bytes) -> list[bytes]:
@@ -130,7 +123,8 @@ def spam_pages(pages: DataFrame, id_col="page_id", text_col="text", links_col="l
     links = F.col(f"{links_col}.text") if links_col in pages.columns else F.lit(None).cast("array<string>")
     texts = one_row_per_id(pages, id_col, unique_ids).select(F.col(id_col).cast("long"), F.col(text_col), links.alias("_links")).where(F.col(text_col).isNotNull())
     seen = write_shared(texts.mapInArrow(_measures, "page_id long, words int, lang string, ratio double, shape double, sentences double, bits double"), "page-measures").where("words > 0").withColumn("bucket", F.round(F.col("bits") * 2).cast("int"))
-    prose = seen.where(F.col("sentences") >= 0.5)
+    # texts of no known language are judged by their length alone and set no standard: filler repeats as spam does
+    prose = seen.where((F.col("sentences") >= 0.5) & (F.col("lang") != ""))
     lines = prose.agg(F.count("*").alias("n"), *[f(c, "bits").alias(f"{c}_{n}") for c in PRIORS for f, n in ((F.regr_intercept, "a"), (F.regr_slope, "b"))]).first()
     quarters = lambda c: [F.percentile_approx(c, p, 10_000).alias(f"{c}_{n}") for n, p in (("m", 0.5), ("q", 0.25))]
     # a row per language and length: at most five by some hundred
