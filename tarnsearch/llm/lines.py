@@ -44,16 +44,23 @@ _CUES = [
 ]
 # patterns that only fit at the start of a line aren't tried elsewhere
 _CUES = [(k, re.compile(p, re.I).match if k in ("share", "top") else re.compile(p, re.I).search) for k, p in _CUES]
-# Words without which none of the patterns above and below can match; most lines end here.
-_HINTS = frozenset(
-    """cookie cookies trackers store speichert conserve guarda sets privacy share shared send liked tweet follow folgen teilen mal partager partagé suivez comparte compartido
-    sigue tell pass advertisement advertisements sponsored anzeige werbung publicidad publicité subscribe adverts free log get newsletter suscríbete recevez abonnez sign abonnieren
-    c copyright rights rechte droits derechos responsible haftet responde décline reproduction consent trademarks prices copied reuse impressum mentions aviso terms questions
-    fragen preguntas write call tel phone telefon mail email fax back nach volver haut retour top seitenanfang""".split()
-)
-_TOPICS = _HINTS - frozenset("c log get free pass tell call write mal back nach top terms questions consent retour haut".split())
+# Words without which a pattern can't match; most lines have none of them.
+_HINT_WORDS = {
+    "cookie": "cookie cookies trackers store speichert conserve guarda sets privacy",
+    "share": "share shared send liked tweet follow folgen teilen mal partager partagé suivez comparte compartido sigue tell pass",
+    "advert": "advertisement advertisements sponsored anzeige werbung publicidad publicité subscribe adverts free log get newsletter suscríbete recevez abonnez sign abonnieren",
+    "legal": "c copyright rights rechte droits derechos responsible haftet responde décline reproduction consent trademarks prices copied reuse impressum mentions aviso terms privacy",
+    "contact": "questions fragen preguntas write call tel phone telefon mail email fax",
+    "top": "back nach volver haut retour top seitenanfang",
+}
+_HINTS: dict[str, frozenset] = {}
+for _kind, _hint_words in _HINT_WORDS.items():
+    for _w in _hint_words.split():
+        _HINTS[_w] = _HINTS.get(_w, frozenset()) | {_kind}
+_HINT_SET = frozenset(_HINTS)
+_TOPICS = _HINT_SET - frozenset("c log get free pass tell call write mal back nach top terms questions consent retour haut".split())
 _POINTS = frozenset("you related read most more in see meistgelesen mehr lesen das à sur les lo te más".split())
-_WORDS = re.compile(r"\w+")
+_BETWEEN = ",.;:!?()\"'-/|·»>•–—’“”„«…‹›¿¡©®→*+=#%&@[]{}<$^`~\\"
 _SENTENCES = re.compile(r"(?<=[.!?;])\s+")
 #: Characters from which a line is read sentence by sentence.
 STATEMENT = 240
@@ -83,8 +90,12 @@ def ends_sentence(line: str) -> bool:
 
 @lru_cache(maxsize=8)
 def words_of(line: str) -> list[str]:
-    """Words of a line in lower case; several readers of one line share them."""
-    return _WORDS.findall(line.lower())
+    """Words of a line in lower case, without punctuation; several readers of one line share them."""
+    low = line.lower()
+    for mark in _BETWEEN:
+        if mark in low:
+            low = low.replace(mark, " ")
+    return low.split()
 
 
 def clean(line: str) -> str:
@@ -106,13 +117,13 @@ def _covered(words: list[str]) -> bool:
 
 def navigation(line: str) -> bool:
     """A label, a row of labels, or a breadcrumb."""
+    if line[-1:] in ".!?":
+        return False
     low = line.lower()
     while low[:1] in "*-•·»>|" and low[1:2] == " ":
         low = low[2:].lstrip()
     if low in NAV_LABELS:
         return True
-    if low[-1:] in ".!?":
-        return False
     parts = [p for p in _SEPARATORS.split(low) if p]
     if len(parts) > 1:
         hits = sum(p in NAV_LABELS for p in parts)
@@ -125,12 +136,15 @@ def navigation(line: str) -> bool:
     return len(words) > 1 and _covered(words)
 
 
-def cue(line: str) -> str | None:
+def cue(line: str, words: list[str]) -> str | None:
     """Surroundings named by the words of a line that is one statement."""
-    for name, pattern in _CUES:
-        if pattern(line):
-            return name
-    m = _POINTER.match(line)
+    known = _HINT_SET.intersection(words)
+    if known or "©" in line:
+        possible = frozenset().union(*(_HINTS[w] for w in known), ("legal",) if "©" in line else ())
+        for name, pattern in _CUES:
+            if name in possible and pattern(line):
+                return name
+    m = _POINTER.match(line) if words and words[0] in _POINTS else None
     return ("pointer_to" if m["rest"] else "pointer") if m else None
 
 
@@ -138,7 +152,7 @@ def _spoken(line: str) -> str | None:
     """:func:`cue` of a line of several sentences, however long: half of its words have to be in sentences of one kind, a third when it starts with them."""
     shares: dict[str, int] = {}
     sentences = _SENTENCES.split(line)
-    cues = [cue(x) for x in sentences]
+    cues = [cue(x, words_of(x)) for x in sentences]
     for sentence, name in zip(sentences, cues):
         if name:
             shares[name] = shares.get(name, 0) + sentence.count(" ") + 1
@@ -149,10 +163,9 @@ def _spoken(line: str) -> str | None:
 def kind(line: str) -> str:
     """Kind of a cleaned, non-empty line by its own words."""
     long, words = len(line) > STATEMENT, words_of(line)
-    if "©" in line or words and words[0] in _POINTS or not (_TOPICS if long else _HINTS).isdisjoint(words):
-        name = _spoken(line) if long else cue(line)
-        if name:
-            return name
+    name = cue(line, words) if not long else _spoken(line) if "©" in line or not _TOPICS.isdisjoint(words) else None
+    if name:
+        return name
     if navigation(line):
         return "nav"
     if len(line) <= 90:

@@ -95,10 +95,10 @@ def mask(line: str) -> str:
 
 def filler(line: str) -> bool:
     """Pseudo-Latin: most words begin with four letters that follow each other in the filler passage."""
-    start = line.lower().split(None, 12)[:12]
-    if len(start) < 5 or sum(w[:4] in _SYLLABLES for w in start) < 0.5 * len(start):
+    words = words_of(line)
+    start = words[:12]
+    if len(start) < 5 or sum([w[:4] in _SYLLABLES for w in start]) < 0.5 * len(start):
         return False
-    words = line.lower().split()
     return sum(w[:4] in _SYLLABLES for w in words) >= 0.6 * len(words)
 
 

@@ -20,7 +20,6 @@ without content or with too little of it to compress at all are never marked; nu
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections import Counter
 
@@ -43,9 +42,7 @@ _FUNCTION_WORDS = {
     "es": frozenset("el la los las del y en al con sin por tras según un una es que no para antes".split()),
 }
 _ALL_FUNCTION_WORDS = frozenset().union(*FUNCTION_WORDS.values(), *_FUNCTION_WORDS.values())
-_PIECES = re.compile(r"https?://\S+|\w+|[^\w\s]")
-_NAMES = re.compile(r"\b[A-ZÄÖÜÀÉÈ]\w*|\d+")
-_SENTENCES = re.compile(r"(?<=[.!?…])\s+")
+_MARKS, _ENDS = ",.;:!?|()\"", frozenset(".!?…")
 # Where no page has been seen: natural logarithm of each ratio against log2 of the bytes, and the median deviation.
 PRIORS, PRIOR_SPREAD = {"ratio": (0.6, -0.12), "shape": (0.55, -0.245)}, 0.1
 
@@ -57,20 +54,42 @@ class Shapes(dict):
 
     def __missing__(self, t: str) -> str:
         low = t.lower()
-        c = self[t] = low if low in _ALL_FUNCTION_WORDS else "#" if t.isdigit() else "w" if t[0].isalnum() and "://" not in t else "u" if len(t) > 1 else t
+        c = self[t] = low if low in _ALL_FUNCTION_WORDS else "#" if t.isdigit() else t if len(t) == 1 and not t.isalnum() else "u" if t.startswith("//") else "w"
         return c
 
     def __call__(self, line: str) -> str:
         if len(self) > self.most:
             self.clear()
-        return " ".join([self[t] for t in _PIECES.findall(line)])
+        for mark in _MARKS:
+            line = line.replace(mark, f" {mark} ")
+        return " ".join([self[t] for t in line.split()])
 
 
-def measure(text: str, link_texts: list[str], kinds: Kinds, shapes: Shapes) -> tuple[int, str, float, float, float, float]:
+class Forms(dict):
+    """A word as it counts in the form of a sentence: names and numbers are alike, the mark behind them stays."""
+
+    most = 200_000
+
+    def __missing__(self, t: str) -> str:
+        c = self[t] = ("~" + t[-1] if t[-1] in _ENDS else "~") if t[0].isupper() or any(map(str.isdigit, t)) else t
+        return c
+
+    def sentences(self, line: str) -> list[tuple[str, ...]]:
+        if len(self) > self.most:
+            self.clear()
+        words, out, start = [self[t] for t in line.split()], [], 0
+        for i, w in enumerate(words, 1):
+            if w[-1] in _ENDS or i == len(words):
+                out.append(tuple(words[start:i]))
+                start = i
+        return out
+
+
+def measure(text: str, link_texts: list[str], kinds: Kinds, shapes: Shapes, forms: Forms) -> tuple[int, str, float, float, float, float]:
     """words, language, logarithm of the blocks' ratio for the text and for its shape, share of words in distinct sentences, log2 of bytes."""
     content, words, sentence_words = [], 0, 0
     linked = {clean(t).lower() for t in link_texts if t}
-    forms: set[str] = set()
+    seen: set[tuple] = set()
     for raw in text.split("\n"):
         line = clean(raw)
         if not line or (k := kinds(line)) in SURROUNDINGS or k in ("byline", "date"):
@@ -81,10 +100,10 @@ def measure(text: str, link_texts: list[str], kinds: Kinds, shapes: Shapes) -> t
         if linked and line.lower() in linked:
             continue
         if k == "sentence" and n <= 45 * sum(map(line.count, ".!?…")):
-            for form in _SENTENCES.split(_NAMES.sub("~", line)):
-                if form not in forms:
-                    forms.add(form)
-                    sentence_words += form.count(" ") + 1
+            for form in forms.sentences(line):
+                if form not in seen:
+                    seen.add(form)
+                    sentence_words += len(form)
         elif k == "code" or k == "list" and _functional(line.lower().split()) or filler(line) or k != "sentence" and (unfilled(line) or rule(line)):
             sentence_words += n
     formed = "\n".join(map(shapes, content))
@@ -110,9 +129,9 @@ def _functional(words: list[str]) -> bool:
 
 
 def _measures(batches):
-    kinds, shapes = Kinds(), Shapes()
+    tools = Kinds(), Shapes(), Forms()
     for b in batches:
-        rows = [(i, *measure(x, t or [], kinds, shapes)) for i, x, t in zip(*(c.to_pylist() for c in b.columns))]
+        rows = [(i, *measure(x, t or [], *tools)) for i, x, t in zip(*(c.to_pylist() for c in b.columns))]
         columns = list(zip(*rows)) or [()] * 7
         types = (pa.int64(), pa.int32(), pa.string(), *[pa.float64()] * 4)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["page_id", "words", "lang", "ratio", "shape", "sentences", "bits"])
