@@ -84,13 +84,24 @@ _EDGES = f"""{_URLS}, {_LINKS}, e AS (SELECT DISTINCT url AS src, dst FROM lk JO
  deg AS MATERIALIZED (SELECT id, count(src) AS degree FROM nodes LEFT JOIN e ON src = id GROUP BY id)"""
 
 
-def _pagerank() -> str:
+def _pagerank(rounds: int = ROUNDS, tables: str = _EDGES) -> str:
+    """Tables up to the last round of ranks, r<rounds>."""
     steps = ["r0 AS MATERIALIZED (SELECT id, degree, 1.0 / (SELECT count(*) FROM deg) AS score FROM deg)"]
-    for i in range(1, ROUNDS + 1):
+    for i in range(1, rounds + 1):
         p = f"r{i - 1}"
         base = f"(SELECT (0.15 + 0.85 * coalesce(sum(score) FILTER (degree = 0), 0)) / count(*) FROM {p})"
         steps.append(f"r{i} AS MATERIALIZED (SELECT {p}.id, degree, {base} + 0.85 * coalesce(got, 0) AS score FROM {p} LEFT JOIN (SELECT dst AS id, sum(score / degree) AS got FROM e JOIN {p} ON src = {p}.id GROUP BY dst) g ON g.id = {p}.id)")
-    return f"WITH {_EDGES}, {', '.join(steps)} SELECT id, round(score, 10) AS score FROM r{ROUNDS}"
+    return f"WITH {tables}, {', '.join(steps)}"
+
+
+#: The graph of hosts in place of the graph of pages.
+_HOST_EDGES = f"""{_EDGES.replace(' e AS (', ' pe AS (').split(', nodes AS (')[0]}, e AS (SELECT DISTINCT {_host('src')} AS src, {_host('dst')} AS dst FROM pe WHERE {_host('src')} <> {_host('dst')}),
+ nodes AS (SELECT src AS id FROM e UNION SELECT dst FROM e), deg AS MATERIALIZED (SELECT id, count(src) AS degree FROM nodes LEFT JOIN e ON src = id GROUP BY id)"""
+#: Rounds after which the ranks of hosts no longer change in six digits.
+SETTLED = 90
+# What each robots file of queries.ROBOTS says for the crawler: (n, rules, delay, sitemaps).
+_ROBOTS = """(0, '-/private +/private/open', 2.5, ''), (1, '-/x', NULL, ''), (2, '-/own', NULL, 'https://e.example/s.xml'), (3, '', NULL, 'https://e.example/a.xml https://e.example/b.xml'), (4, '', 300.0, ''), (5, '', NULL, ''), (6, '-/two', NULL, '')"""
+_STATUS = "(0, 200, '-/private +/private/open'), (1, 404, ''), (2, 503, '-/'), (3, 301, '-/'), (4, 204, '-/private +/private/open')"
 
 
 _AT = "coalesce(nullif(base, ''), url)"
@@ -101,7 +112,7 @@ _RESOLVED = f"""pl AS (SELECT page_id, n, trim(href) AS href, text, {_AT} AS pag
  dot AS (SELECT page_id, n, text, regexp_replace(regexp_replace(link, '/\\./', '/', 'g'), '/[^/]+/\\.\\./', '/') AS link FROM ab),
  rs AS (SELECT page_id, n, text, {_canonical('link')} AS target FROM dot)"""
 
-_ADMITTED = f"""{_URLS}, {_LINKS}, s AS (SELECT dst AS url, 1 + doc_id % 5 AS depth, doc_id * 1000 + i AS seq FROM lk WHERE dst IS NOT NULL),
+_ADMITTED = f"""{_URLS}, {_LINKS}, s AS (SELECT dst AS url, 1 + doc_id % 5 AS depth, struct_pack(doc_id := doc_id, i := CAST(i AS INTEGER)) AS seq FROM lk WHERE dst IS NOT NULL),
  a AS (SELECT url, CAST(min(struct_pack(depth := depth, seq := seq)).depth AS INTEGER) AS depth, min(struct_pack(depth := depth, seq := seq)).seq AS seq FROM s WHERE depth <= 3 AND {_host('url')} IN (SELECT host FROM u WHERE host <> '')
   AND url NOT IN (SELECT url FROM u WHERE url IS NOT NULL) GROUP BY url)"""
 
@@ -115,7 +126,7 @@ def _robots() -> str:
     return f"WITH {_URLS} SELECT doc_id, path, CASE WHEN coalesce(host, '') = '' THEN true {when} ELSE true END AS allowed FROM (SELECT doc_id, host, regexp_extract(url, '^[a-z]+://[^/]*(/.*)$', 1) AS path FROM u)"
 
 
-_PAGES = "pg AS (SELECT * FROM extracted_page WHERE text IS NOT NULL AND title IS NOT NULL)"
+_PAGES = "pg AS (SELECT page_id, coalesce(title, '') AS title, coalesce(text, '') AS text, links, noindex, nofollow FROM extracted_page)"
 
 
 def _trimmed(t: str) -> str:
@@ -163,12 +174,22 @@ ORACLE = {
     "url_canonical": f"WITH {_URLS} SELECT doc_id, url FROM u",
     "url_host": f"WITH {_URLS} SELECT doc_id, nullif(host, '') AS host FROM u",
     "url_resolve": f"WITH {_RESOLVED} SELECT page_id, CAST(n AS INTEGER) AS n, target FROM rs WHERE target IS NOT NULL",
-    "anchor_text_by_target": f"""WITH {_RESOLVED}, t AS (SELECT target, trim(text, ' ') AS text, min(page_id * 1000 + n) AS seq FROM rs WHERE target IS NOT NULL AND trim(text, ' ') <> '' GROUP BY 1, 2),
+    "anchor_text_by_target": f"""WITH {_RESOLVED}, t AS (SELECT target, trim(text, ' ') AS text, min(struct_pack(p := page_id, n := n)) AS seq FROM rs WHERE target IS NOT NULL AND trim(text, ' ') <> '' GROUP BY 1, 2),
  k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY seq, text) AS r FROM t) SELECT target, string_agg(text, '|' ORDER BY seq, text) AS anchors FROM k WHERE r <= 32 GROUP BY target""",
     "link_edges": f"WITH {_EDGES} SELECT src, dst FROM e",
     "out_degree": f"WITH {_EDGES} SELECT id, degree FROM deg",
     "dangling_nodes": f"WITH {_EDGES} SELECT id FROM deg WHERE degree = 0",
-    "pagerank_links": _pagerank(),
+    "pagerank_links": f"{_pagerank()} SELECT id, round(score, 10) AS score FROM r{ROUNDS}",
+    "pagerank_hosts": f"{_pagerank(SETTLED, _HOST_EDGES)} SELECT id, round(score, 6) AS score FROM r{SETTLED}",
+    "ranks_by_url": f"{_pagerank()} SELECT doc_id, coalesce(round(score, 10), 0.0) AS rank FROM u LEFT JOIN r{ROUNDS} ON id = url",
+    "index_stats": f"WITH {TOKENS} SELECT (SELECT count(*) FROM lens) AS documents, (SELECT count(DISTINCT term) FROM tok) AS terms, (SELECT round(avg(length), 6) FROM lens) AS average_length",
+    "robots_parse": f"WITH {_URLS} SELECT DISTINCT host, rules, CAST(delay AS DOUBLE) AS delay, sitemaps FROM u JOIN (VALUES {_ROBOTS}) v(n, rules, delay, sitemaps) ON n = length(host) % 7 WHERE host <> ''",
+    "robots_status": f"WITH {_URLS} SELECT DISTINCT host, status, rules FROM u JOIN (VALUES {_STATUS}) v(n, status, rules) ON n = length(host) % 5 WHERE host <> ''",
+    "trec_roundtrip": f"WITH {_RUN} SELECT topic, uri, grade FROM qr",
+    "tie_report": """WITH h AS (SELECT qid, scorer, doc_id, max(score) AS score FROM hit WHERE score IS NOT NULL AND doc_id IS NOT NULL GROUP BY ALL), b AS (SELECT *, count(*) OVER (PARTITION BY qid, score) AS members FROM h WHERE scorer = 'body'),
+ t AS (SELECT qid, doc_id FROM h WHERE scorer = 'title' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) = 1)
+ SELECT count(*) AS queries, count(*) FILTER (members > 1) AS tied, round(coalesce(avg(members), 0), 6) AS mean_group, coalesce(max(members), 0) AS largest, count(*) FILTER (members > 1) * 10 > count(*) AS compromised FROM b JOIN t USING (qid, doc_id)""",
+    "manifest_rebuild": "SELECT CAST(3 AS INTEGER) AS segments, count(*) AS documents FROM crawled_document",
     "authority_multiplier": "SELECT DISTINCT doc_id, round(CASE WHEN rank > 0 THEN 1 + 0.5 * ln(1 + rank * (SELECT count(*) FROM crawled_document)) ELSE 1 END, 6) AS authority FROM stored_doc",
     "lease_schedule": """WITH r AS (SELECT DISTINCT lower(host) AS host, t, requested_ms, permits, arrived_at FROM fetch_request WHERE host IS NOT NULL AND t IS NOT NULL),
  c AS (SELECT *, epoch_ms(t) AS ms, greatest(coalesce(requested_ms, 0), 1000) * coalesce(permits, 1) AS cost FROM r),
@@ -179,18 +200,19 @@ ORACLE = {
     "robots_ttl_latest": """WITH r AS (SELECT lower(host) AS host, arrived_at AS learned_at, coalesce(requested_ms, 0) AS answer FROM fetch_request WHERE host IS NOT NULL),
  n AS (SELECT host, max(learned_at) AS learned_at FROM r GROUP BY host)
  SELECT host, learned_at, max(answer) AS answer FROM r JOIN n USING (host, learned_at) WHERE learned_at > (SELECT max(learned_at) FROM r) - INTERVAL 24 HOUR GROUP BY host, learned_at""",
-    "frontier_admission": f"WITH {_ADMITTED} SELECT url, depth, seq FROM a",
-    "per_host_cap": f"WITH {_ADMITTED}, c AS (SELECT *, {_host('url')} AS host FROM a), d AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY depth, seq) AS n FROM c) SELECT url, host, depth, seq FROM d WHERE n <= 3 ORDER BY depth, seq LIMIT 500",
+    "frontier_admission": f"WITH {_ADMITTED} SELECT url, depth, seq.doc_id AS doc_id, seq.i AS i FROM a",
+    "per_host_cap": f"WITH {_ADMITTED}, c AS (SELECT *, {_host('url')} AS host FROM a), d AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY depth, seq) AS n FROM c) SELECT url, host, depth, seq.doc_id AS doc_id, seq.i AS i FROM d WHERE n <= 3 ORDER BY depth, seq LIMIT 500",
     "ir_topics": f"WITH {_RUN} SELECT topic, round(precision, 6) AS precision, round(recall, 6) AS recall, round(reciprocal_rank, 6) AS reciprocal_rank, round(average_precision, 6) AS average_precision, round(ndcg, 6) AS ndcg, CAST(success AS INTEGER) AS success, unjudged FROM sc",
     "ir_summary": f"""WITH {_RUN} SELECT count(*) AS topics, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(reciprocal_rank), 6) AS mrr, round(avg(average_precision), 6) AS map, round(avg(ndcg), 6) AS ndcg,
  round(avg(success), 6) AS success_rate, count(*) FILTER (success = 0) AS failures, CAST(sum(unjudged) AS BIGINT) AS unjudged FROM sc""",
     "tie_groups": "SELECT qid, scorer, score, count(*) AS members FROM (SELECT DISTINCT qid, scorer, doc_id, score FROM hit) WHERE score IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
     "merge_tiers": "SELECT * FROM (VALUES " + ", ".join(f"(CAST({s} AS BIGINT), CAST({max(0, len(str(s)) - 1)} AS INTEGER))" for s in SIZES) + ") v(bytes, tier)",
     "stream_equals_batch": """WITH r AS (SELECT DISTINCT lower(host) AS host, t, requested_ms, permits, arrived_at FROM fetch_request WHERE host IS NOT NULL AND t IS NOT NULL),
- c AS (SELECT *, epoch_ms(t) AS ms, greatest(coalesce(requested_ms, 0), 1000) * coalesce(permits, 1) AS cost FROM r),
- s AS (SELECT *, sum(cost) OVER w - cost AS before FROM c WINDOW w AS (PARTITION BY host ORDER BY ms, requested_ms NULLS FIRST, permits NULLS FIRST, arrived_at ROWS UNBOUNDED PRECEDING)),
- m AS (SELECT *, before + max(ms - before) OVER (PARTITION BY host ORDER BY ms, requested_ms NULLS FIRST, permits NULLS FIRST, arrived_at ROWS UNBOUNDED PRECEDING) AS slot FROM s)
- SELECT host, t, CAST(slot - ms AS BIGINT) AS wait_ms, CAST(slot + cost AS BIGINT) AS free_ms FROM m""",
+ ends AS (SELECT epoch_us(min(arrived_at)) AS a, epoch_us(max(arrived_at)) AS b FROM fetch_request),
+ c AS (SELECT r.*, epoch_ms(t) AS ms, greatest(coalesce(requested_ms, 0), 1000) * coalesce(permits, 1) AS cost, CASE WHEN 3 * (epoch_us(arrived_at) - a) < b - a THEN 0 WHEN 3 * (epoch_us(arrived_at) - a) < 2 * (b - a) THEN 1 ELSE 2 END AS batch FROM r, ends),
+ s AS (SELECT *, sum(cost) OVER w - cost AS before FROM c WINDOW w AS (PARTITION BY host ORDER BY batch, ms, requested_ms NULLS FIRST, permits NULLS FIRST, arrived_at NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+ m AS (SELECT *, before + max(ms - before) OVER (PARTITION BY host ORDER BY batch, ms, requested_ms NULLS FIRST, permits NULLS FIRST, arrived_at NULLS FIRST ROWS UNBOUNDED PRECEDING) AS slot FROM s)
+ SELECT host, t, requested_ms, permits, arrived_at, CAST(slot - ms AS BIGINT) AS wait_ms, CAST(slot + cost AS BIGINT) AS free_ms FROM m""",
 }
 
 

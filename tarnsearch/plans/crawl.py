@@ -9,9 +9,6 @@ the documents its state claims.
 from __future__ import annotations
 
 import json
-import os
-import shutil
-import uuid
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,6 +18,8 @@ from tarnsearch.functions.text import host
 from tarnsearch.functions.urls import resolve
 from tarnsearch.operators import frontier, robots
 from tarnsearch.operators.frontier import Limits
+from tarnsearch.operators.index import dense_ids
+from tarnsearch.sources.folders import Folder
 
 URL = "url string, depth int, seq long"
 
@@ -33,39 +32,34 @@ class Pointer:
 
 
 class Crawl:
-    """``folder`` holds state and spool and has to be reachable from the driver and the executors."""
+    """``folder`` holds state and spool, on any file system the session reads."""
 
     def __init__(self, spark: SparkSession, folder: str, limits: Limits = Limits(), rules: DataFrame | None = None):
-        self.spark, self.folder, self.limits, self.rules = spark, folder.removeprefix("file://"), limits, rules
-        os.makedirs(self.folder, exist_ok=True)
+        self.spark, self.folder, self.limits, self.rules = spark, Folder(spark, folder), limits, rules
 
     def _path(self, *parts: str) -> str:
-        return os.path.join(self.folder, *parts)
+        return self.folder.path(*parts)
 
     def pointer(self) -> Pointer | None:
-        try:
-            with open(self._path("pointer.json")) as f:
-                return Pointer(**json.load(f))
-        except FileNotFoundError:
-            return None
+        return Pointer(**json.loads(self.folder.read_text("pointer.json"))) if self.folder.exists("pointer.json") else None
 
     def _point(self, p: Pointer) -> None:
-        temporary = self._path(f"pointer.{uuid.uuid4().hex}")
-        with open(temporary, "w") as f:
-            json.dump(asdict(p), f)
-        os.replace(temporary, self._path("pointer.json"))
+        self.folder.replace_text("pointer.json", json.dumps(asdict(p)))
 
     def _save(self, df: DataFrame, kind: str, wave: int) -> DataFrame:
         path = self._path(kind, f"wave={wave}")
-        shutil.rmtree(path, ignore_errors=True)  # left by a wave that was not finished
-        df.write.parquet(path)
+        df.write.mode("overwrite").parquet(path)  # what an unfinished wave left is replaced
         return self.spark.read.parquet(path)
 
     def _all(self, kind: str, upto: int) -> DataFrame:
         return self.spark.read.parquet(*[self._path(kind, f"wave={w}") for w in range(upto + 1)])
 
-    def start(self, seeds: list[str]) -> None:
-        rows = self.spark.createDataFrame([(u, 0, i) for i, u in enumerate(dict.fromkeys(seeds))], URL)
+    def start(self, seeds: list[str] | DataFrame) -> None:
+        """Begin with a list of URLs, in its order, or with a table of them (url), in theirs."""
+        if isinstance(seeds, DataFrame):
+            rows = dense_ids(seeds.select("url").where("url is not null").distinct(), "url", "seq").select("url", F.lit(0).alias("depth"), "seq")
+        else:
+            rows = self.spark.createDataFrame([(u, 0, i) for i, u in enumerate(dict.fromkeys(seeds))], URL)
         clean = rows.select(resolve(F.lit("https://seed.invalid/"), F.col("url")).alias("url"), "depth", "seq").where("url is not null")
         seeds_df = clean.groupBy("url").agg(F.min("depth").alias("depth"), F.min("seq").alias("seq"))
         self._save(seeds_df, "queue", 0)
@@ -94,7 +88,7 @@ class Crawl:
         links = F.when((F.col("outcome") == "indexed") & ~F.coalesce("nofollow", F.lit(False)), F.transform("links", lambda x: F.struct(resolve(F.col("_base"), x["href"]).alias("url"), x["text"].alias("text"))))
         rows = rows.withColumn("_links", F.filter(F.coalesce(links, F.array().cast("array<struct<url:string,text:string>>")), lambda x: x["url"].isNotNull()))
         spool = self._save(rows.select(F.col("_n").cast("long").alias("seq"), F.col("seq").alias("doc_id"), F.col("url").alias("uri"), "title", F.col("text").alias("body"), F.col("_links.url").alias("links"), F.coalesce("noindex", F.lit(False)).alias("noindex"), "outcome", "depth", F.col("_links").alias("found")), "spool", n)
-        found = spool.select(F.col("seq").alias("parent"), "depth", F.posexplode("found").alias("i", "l")).select(F.col("l.url").alias("url"), (F.col("depth") + 1).alias("depth"), (F.col("parent") * 1_000_000 + F.col("i")).alias("seq"), F.col("l.text").alias("text"))
+        found = spool.select(F.col("seq").alias("parent"), "depth", F.posexplode("found").alias("i", "l")).select(F.col("l.url").alias("url"), (F.col("depth") + 1).alias("depth"), (F.shiftleft("parent", 32) + F.col("i")).alias("seq"), F.col("l.text").alias("text"))
         self._save(found.select(F.col("url").alias("target"), "text", "seq"), "anchors", n)
         seen = self._all("seen", p.wave)
         fresh = frontier.admitted(found.select("url", "depth", "seq"), seen, self._all("hosts", 0), self.limits)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +10,9 @@ from tarnsearch.functions.entities import decode_entities
 from tarnsearch.functions.text import fold, host
 from tarnsearch.operators import evaluate, frontier, graph, index, politeness, query, robots, sampling, scoring, search, snippet
 from tarnsearch.operators.scoring import Params
-from tarnsearch.session import shared_dir, table
-from tarnsearch.sources import segments
+from tarnsearch.plans.crawl import Crawl
+from tarnsearch.session import shared_dir, shared_path, table
+from tarnsearch.sources import segments, trec
 
 SHARDS = 8
 #: Query texts for the single-query operators.
@@ -26,6 +25,20 @@ RULES = (("/why-", False), ("/why-the-", True), ("/*survey", False), ("/*-notes"
 SIZES = (0, 1, 9, 10, 99, 100, 101, 999, 1000, 5_000_000, 99_999_999, 100_000_000, 4_294_967_296)
 
 
+#: Robots files and the crawler that reads them, statuses of the answers.
+AGENT = "TarnBot/1.0"
+ROBOTS = (
+    "User-agent: *\nDisallow: /private\nAllow: /private/open\nCrawl-delay: 2.5",
+    "User-agent: tarnbot\nHost: x\nUser-agent: other\nDisallow: /x",
+    "User-agent: *\nDisallow: /all\n\nUser-agent: TARN\nDisallow: /own # note\nSitemap: https://e.example/s.xml",
+    "Sitemap: https://e.example/a.xml\nUser-agent: other\nDisallow: /\n!!! junk\nSitemap: https://e.example/b.xml",
+    "User-agent: *\nDisallow:\nCrawl-delay: 99999",
+    "",
+    "User-agent: *\nDisallow: /one\nUser-agent: *\nDisallow: /two\nCrawl-delay: -1",
+)
+STATUSES = (200, 404, 503, 301, 204)
+
+
 def _docs(spark, d) -> DataFrame:
     return table(spark, d, "crawled_document")
 
@@ -141,7 +154,7 @@ def local_stats_ranking(spark, d):
 
 def segment_search(spark, d):
     """Search over stored segments: written, merged, verified and read back."""
-    store = segments.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store = segments.Store(spark, shared_path(spark, "store"))
     store.initialise()
     docs = _docs(spark, d)
     for s in range(3):
@@ -211,7 +224,7 @@ def url_resolve(spark, d):
 
 
 def anchor_text_by_target(spark, d):
-    links = _page_links(spark, d).withColumn("seq", F.col("page_id") * 1000 + F.col("n"))
+    links = _page_links(spark, d).withColumn("seq", F.struct("page_id", "n"))
     return frontier.anchors_by_target(links).select("target", F.array_join("anchors", "|").alias("anchors"))
 
 
@@ -256,6 +269,20 @@ def authority_multiplier(spark, d):
     return _ranks(spark, d).distinct().select("doc_id", F.round(scoring.authority(Params(), F.col("rank"), float(n)), 6).alias("authority"))
 
 
+def ranks_by_url(spark, d):
+    """The rank of each document's canonical URL in the link graph after the fixed rounds."""
+    docs = _docs(spark, d).select("doc_id", urls.canonical(F.col("uri")).alias("uri"))
+    ranks = pagerank_links(spark, d)
+    return graph.document_ranks(docs, ranks).select("doc_id", "rank")
+
+
+def index_stats(spark, d):
+    """Documents, terms and average length of the kept index."""
+    made = _index(spark, d)
+    terms = made.postings.select("term").distinct().count()
+    return made.stored.agg(F.count("*").alias("documents"), F.lit(terms).cast("long").alias("terms"), F.round(F.avg("length"), 6).alias("average_length"))
+
+
 def lease_schedule(spark, d):
     return politeness.lease_schedule(table(spark, d, "fetch_request"))
 
@@ -271,6 +298,30 @@ def robots_rule_match(spark, d):
     return robots.matched(paths, _rules(spark, d)).select("doc_id", "path", "allowed")
 
 
+def _robots_texts(spark, d) -> DataFrame:
+    """host, n, text: every site with one of the robots files above."""
+    hosts = _docs(spark, d).select(host(F.col("uri")).alias("host")).where("host is not null").distinct()
+    n = F.pmod(F.length("host"), F.lit(len(ROBOTS)))
+    return hosts.select("host", n.alias("n"), F.element_at(F.array(*[F.lit(t) for t in ROBOTS]), n + 1).alias("text"))
+
+
+def _shown(rules):
+    return F.array_join(F.transform(rules, lambda r: F.concat(F.when(r["allow"], "+").otherwise("-"), r["path"])), " ")
+
+
+def robots_parse(spark, d):
+    """Rules, delay and sitemaps that each site's file has for one crawler."""
+    parsed = _robots_texts(spark, d).withColumn("r", robots.parse_column(F.col("text"), AGENT))
+    return parsed.select("host", _shown(F.col("r.rules")).alias("rules"), F.col("r.delay").alias("delay"), F.array_join("r.sitemaps", " ").alias("sitemaps"))
+
+
+def robots_status(spark, d):
+    """What the answer's status makes of a robots file."""
+    status = F.element_at(F.array(*[F.lit(s) for s in STATUSES]), F.pmod(F.length("host"), F.lit(len(STATUSES))) + 1)
+    told = _robots_texts(spark, d).withColumn("status", status)
+    return told.select("host", "status", _shown(robots.by_status(F.col("status"), robots.parse_column(F.lit(ROBOTS[0]), AGENT))["rules"]).alias("rules"))
+
+
 def robots_ttl_latest(spark, d):
     rows = table(spark, d, "fetch_request").where("host is not null").select(F.lower("host").alias("host"), F.col("arrived_at").alias("learned_at"), F.coalesce("requested_ms", F.lit(0)).alias("answer"))
     newest = rows.agg(F.max("learned_at")).first()[0]
@@ -279,18 +330,22 @@ def robots_ttl_latest(spark, d):
 
 def _sightings(spark, d) -> DataFrame:
     docs = _docs(spark, d).select("doc_id", F.posexplode("links").alias("i", "l"))
-    return docs.select(urls.canonical(F.col("l")).alias("url"), (1 + F.pmod("doc_id", F.lit(5))).cast("int").alias("depth"), (F.col("doc_id") * 1000 + F.col("i")).alias("seq"))
+    return docs.select(urls.canonical(F.col("l")).alias("url"), (1 + F.pmod("doc_id", F.lit(5))).cast("int").alias("depth"), F.struct("doc_id", "i").alias("seq"))
 
 
-def frontier_admission(spark, d):
+def _admitted(spark, d) -> DataFrame:
     docs = _docs(spark, d)
     seeds = docs.select(host(F.col("uri")).alias("host")).where("host is not null").distinct()
     return frontier.admitted(_sightings(spark, d), _pages(spark, d).withColumnRenamed("id", "url"), seeds)
 
 
+def frontier_admission(spark, d):
+    return _admitted(spark, d).select("url", "depth", "seq.*")
+
+
 def per_host_cap(spark, d):
     """What a crawl of at most 500 pages, three per host, fetches next."""
-    return frontier.handed_out(frontier_admission(spark, d), None, 0, frontier.Limits(pages=500, per_host=3)).select("url", "host", "depth", "seq")
+    return frontier.handed_out(_admitted(spark, d), None, 0, frontier.Limits(pages=500, per_host=3)).select("url", "host", "depth", "seq.*")
 
 
 def _run(spark, d, scorer: str) -> DataFrame:
@@ -313,6 +368,22 @@ def ir_summary(spark, d):
     return s.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
 
 
+def trec_roundtrip(spark, d):
+    """The judgements written as lines of text and read back."""
+    path = shared_path(spark, "judgements")
+    _qrels(spark, d).select(F.concat_ws(" ", "topic", F.lit("0"), "uri", F.col("grade").cast("string"))).write.text(path)
+    return trec.qrels(spark, path)
+
+
+def tie_report(spark, d):
+    """Ties of the body scores at each query's best title result."""
+    hits = table(spark, d, "hit").where("score is not null and doc_id is not null")
+    best = hits.where("scorer = 'title'").groupBy("qid").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("d"))).alias("b")).select("qid", (-F.col("b.d")).alias("doc_id"))
+    run = hits.where("scorer = 'body'").groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
+    report = evaluate.tie_report(run, run.join(best, ["qid", "doc_id"]))
+    return report.withColumn("mean_group", F.round("mean_group", 6))
+
+
 def tie_groups(spark, d):
     hits = table(spark, d, "hit").select("qid", "scorer", "doc_id", "score").distinct()
     return evaluate.tie_groups(hits, ["qid", "scorer"])
@@ -326,24 +397,48 @@ def jump_hash_shards(spark, d):
     return _docs(spark, d).select("doc_id", routing.shard_for(urls.canonical(F.col("uri")), SHARDS).alias("shard"))
 
 
+def crawl_counters(spark, d):
+    """Three waves of a crawl over the extracted pages, from one page of every site."""
+    pages = table(spark, d, "extracted_page").withColumn("url", urls.canonical(F.col("url"))).where("url is not null")
+    pages = pages.groupBy("url").agg(F.min_by(F.struct("title", "text", "links", "base", "noindex", "nofollow"), "page_id").alias("p")).select("url", "p.*")
+    seeds = pages.groupBy(host(F.col("url")).alias("host")).agg(F.min("url").alias("url"))
+    crawl = Crawl(spark, shared_path(spark, "crawl"), frontier.Limits(pages=2000, per_host=20), _rules(spark, d))
+    crawl.start(seeds.select("url"))
+    crawl.run(pages, waves=3)
+    return crawl.counters()
+
+
+def manifest_rebuild(spark, d):
+    """A store whose manifest got lost, after it was made again from the segments."""
+    store = segments.Store(spark, shared_path(spark, "store"))
+    store.initialise()
+    for s in range(3):
+        store.append(_docs(spark, d).where(F.pmod("doc_id", F.lit(3)) == s))
+    store.folder.delete("manifest.json")
+    return spark.createDataFrame([(len(m.entries), sum(e.documents for e in m.entries)) for m in [store.rebuild()]], "segments int, documents long")
+
+
 def merge_tiers(spark, d):
     return spark.createDataFrame([(s, segments.tier_of(s)) for s in SIZES], "bytes long, tier int")
 
 
 def stream_equals_batch(spark, d):
-    """Leases granted by the stream with one batch: the same as in batch."""
-    from tarnsearch.streaming.leases import granted
+    """Leases granted by a stream in three batches by time of arrival; requests that arrive late wait behind earlier batches."""
+    from tarnsearch.streaming import leases
 
-    name = f"leases-{uuid.uuid4().hex}"
     rows = table(spark, d, "fetch_request").distinct()
-    source = f"{shared_dir(spark)}/{name}"
-    rows.coalesce(1).write.parquet(source)
-    stream = spark.readStream.schema(rows.schema).parquet(source)
-    out = f"{source}-out"
-    granted(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{source}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    ends = rows.agg(F.min("arrived_at").alias("a"), F.max("arrived_at").alias("b")).first()
+    third = (ends["b"] - ends["a"]) / 3 if ends["a"] is not None else None
+    folder = shared_path(spark, "leases")
+    for n in range(3):
+        low, high = (ends["a"] + third * n, ends["a"] + third * (n + 1)) if third is not None else (None, None)
+        part = (F.col("arrived_at") >= F.lit(low)) if n else F.lit(True)
+        part = part & (F.col("arrived_at") < F.lit(high)) if n < 2 else part
+        rows.where(part).write.mode("append").parquet(f"{folder}/source")
+        leases.grant(spark.readStream.schema(rows.schema).parquet(f"{folder}/source"), f"{folder}/granted").awaitTermination()
+    return leases.granted(spark, f"{folder}/granted").select("host", "t", "requested_ms", "permits", "arrived_at", "wait_ms", "free_ms")
 
 
 def queries():
-    skip = {"queries"}
+    skip = {"queries", "shared_dir", "shared_path"}
     return {n: f for n, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n not in skip}

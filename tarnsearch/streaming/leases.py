@@ -1,30 +1,37 @@
-"""Leases per host as keyed state of a stream."""
+"""Leases per host over a stream of requests."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tarnsearch.operators.politeness import lease_schedule
+from tarnsearch.sources.folders import Folder
+
+BUSY = "host string, free_ms long"
+
+
+def grant(stream: DataFrame, folder: str, floor_ms: int = 1000) -> StreamingQuery:
+    """Grant the requests of each micro-batch by time, after all that came in earlier batches.
 
-OUTPUT = "host string, t timestamp, wait_ms long, free_ms long"
+    A batch is scheduled like a table, in chunks of time; one number per host goes from batch to batch.
+    Leases and state of batch ``n`` lie below ``folder`` under that number, so a batch that is run again
+    replaces its own rows and reads the state before it.
+    """
+    spark = stream.sparkSession
+    place = Folder(spark, folder)
 
+    def run(batch: DataFrame, n: int) -> None:
+        before = spark.read.parquet(place.path("busy", f"batch={n - 1}")) if place.exists("busy", f"batch={n - 1}") else spark.createDataFrame([], BUSY)
+        leases = place.path("leases", f"batch={n}")
+        lease_schedule(batch, floor_ms, busy=before).write.mode("overwrite").parquet(leases)
+        latest = spark.read.parquet(leases).select("host", "free_ms").unionByName(before).groupBy("host").agg(F.max("free_ms").alias("free_ms"))
+        latest.write.mode("overwrite").parquet(place.path("busy", f"batch={n}"))
 
-def granted(stream: DataFrame, floor_ms: int = 1000) -> DataFrame:
-    """(host, t, wait_ms, free_ms): requests of each batch by time, after all that came before; state is one number per host."""
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", place.path("checkpoint")).trigger(availableNow=True).start()
 
-    def grant(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        free = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["ms", "requested_ms", "permits"], na_position="first")
-        spent = rows["requested_ms"].fillna(0).clip(lower=floor_ms).astype("int64") * rows["permits"].fillna(1).astype("int64")
-        out = []
-        for t, ms, cost in zip(rows["t"], rows["ms"], spent):
-            slot = ms if free is None else max(ms, free)
-            free = slot + cost
-            out.append((key[0], t, slot - ms, free))
-        state.update((int(free),))
-        yield pd.DataFrame(out, columns=["host", "t", "wait_ms", "free_ms"])
 
-    rows = stream.where("host is not null and t is not null").select(F.lower("host").alias("host"), F.col("t").cast("timestamp").alias("t"), "requested_ms", "permits").withColumn("ms", F.unix_millis("t"))
-    return rows.groupBy("host").applyInPandasWithState(grant, OUTPUT, "free long", "append", "NoTimeout")
+def granted(spark: SparkSession, folder: str) -> DataFrame:
+    """All leases so far."""
+    return spark.read.parquet(Folder(spark, folder).path("leases"))

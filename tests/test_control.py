@@ -36,6 +36,26 @@ def test_lease_schedule_equals_the_recurrence(spark):
     assert got == expected and any(w for w, _ in got.values())
 
 
+def test_leases_of_a_stream_wait_behind_earlier_batches(spark, tmp_path):
+    from tarnsearch.streaming import leases
+
+    rows = requests(240, seed=8)
+    free, expected, epoch = {}, {}, dt.datetime(1970, 1, 1)
+    for part in (rows[:80], rows[80:160], rows[160:]):
+        spark.createDataFrame(part, REQUEST).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(REQUEST).parquet(str(tmp_path / "in"))
+        leases.grant(stream, f"file:{tmp_path}/out").awaitTermination()
+        for host, t, ms, permits, arrived in sorted({(h.lower(), *r) for h, *r in part}, key=lambda r: (r[0], r[1], -1 if r[2] is None else r[2], r[3], r[4])):
+            now = (t - epoch) // dt.timedelta(milliseconds=1)
+            slot = max(now, free.get(host, now))
+            free[host] = slot + max(ms or 0, 1000) * permits
+            expected[host, arrived] = (slot - now, free[host])
+    got = {(r["host"], r["arrived_at"]): (r["wait_ms"], r["free_ms"]) for r in leases.granted(spark, f"file:{tmp_path}/out").collect()}
+    assert got == expected
+    alone = politeness.without_authority(spark.createDataFrame(rows[:3], REQUEST)).collect()
+    assert {r["wait_ms"] for r in alone} == {0} and all(r["spacing_ms"] >= 0 and r["permits"] >= 1 for r in alone)
+
+
 def test_frontier(spark):
     found = spark.createDataFrame([("http://a.x/1", 1, 5), ("http://a.x/1", 1, 2), ("http://a.x/2", 4, 1), ("http://b.x/1", 1, 3), ("http://a.x/0", 1, 4), (None, 1, 9)], "url string, depth int, seq long")
     seen = spark.createDataFrame([("http://a.x/0",)], "url string")
