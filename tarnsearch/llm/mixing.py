@@ -1,10 +1,12 @@
 """Problem 9: mixing sources to target shares of the total size in tokens.
 
 The total is the largest that every source can give its share of with ``max_repeats`` uses of a document.
-A source gives whole passes and a part of one more.  Its documents lie in hash blocks; block quotas are
-split exactly over the output shards by a tree of multivariate hypergeometric draws, blocks are drawn
-without overlap in a permuted order, and each shard is shuffled by hash.  The last block of a partial pass
-is cut at the document that meets the quota, so a share is off by less than one document per source.
+A source gives whole passes and a part of one more.  Its documents lie in at most ``BLOCKS`` hash blocks of
+sub-blocks of about ``DOCS_PER_BLOCK`` documents.  Block quotas are split exactly over groups of output shards
+by a tree of multivariate hypergeometric draws on the driver; sub-blocks are split in the same way over the
+shards of their group, each group in its own task.  Blocks are drawn without overlap in a permuted order, and
+each shard is shuffled by hash.  The last block of a partial pass is cut at the sub-block, and within it at the
+document, that meets the quota, so a share is off by less than one document per source.
 
 Source labels are compared trimmed, in lower case, with blanks and dashes as underscores.  Documents with
 null text, no tokens, or a source without target are not used; a target without documents is reported
@@ -17,12 +19,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnsearch.llm.common import one_row_per_id
+from tarnsearch.llm.common import one_row_per_id, small_side
 from tarnsearch.llm.tokens import TOKENIZERS, VOCABULARY, token_counts
 from tarnsearch.session import write_shared
 
-#: Blocks of one source: about one per ``DOCS_PER_BLOCK`` documents, at most ``MAX_BLOCKS``.
-DOCS_PER_BLOCK, MAX_BLOCKS, DOCS_PER_SHARD = 16, 4096, 200_000
+#: Blocks of one source and groups of shards that the driver plans; documents of a sub-block and of a shard.  A larger
+#: table has more sub-blocks and shards, of the same size.
+BLOCKS, GROUPS, DOCS_PER_BLOCK, DOCS_PER_SHARD = 1024, 256, 16, 200_000
 
 
 def label(col: Column) -> Column:
@@ -59,10 +62,12 @@ def mixture(docs: DataFrame, target: DataFrame, id_col="doc_id", text_col="text"
     quota = quotas({s: t for s, (t, _) in have.items()}, goal)
     if not quota:
         return spark.createDataFrame([], empty)
-    n_blocks = {s: int(min(MAX_BLOCKS, max(1, have[s][1] // DOCS_PER_BLOCK))) for s in quota}
-    blocks_of = F.coalesce(*[F.when(F.col("source") == s, F.lit(n)) for s, n in n_blocks.items()])
-    placed = sized.where(F.col("source").isin(list(quota))).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), blocks_of).cast("int"))
-    # at most MAX_BLOCKS rows per source
+    n_blocks = {s: int(min(BLOCKS, max(1, have[s][1] // DOCS_PER_BLOCK))) for s in quota}
+    n_subs = {s: int(max(1, have[s][1] // (n_blocks[s] * DOCS_PER_BLOCK))) for s in quota}
+    per_source = lambda numbers: F.coalesce(*[F.when(F.col("source") == s, F.lit(n)) for s, n in numbers.items()])
+    placed = sized.where(F.col("source").isin(list(quota))).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), per_source(n_blocks)).cast("int"))
+    placed = placed.withColumn("sub", F.pmod(F.xxhash64("doc_id", F.lit(seed + 3)), per_source(n_subs)).cast("int"))
+    # at most BLOCKS rows per source
     sums: dict[str, dict[int, int]] = {s: {} for s in quota}
     for r in placed.groupBy("source", "block").agg(F.sum("tokens").alias("t")).collect():
         sums[r["source"]][r["block"]] = int(r["t"])
@@ -82,26 +87,59 @@ def mixture(docs: DataFrame, target: DataFrame, id_col="doc_id", text_col="text"
         uses[s] = whole
     total_docs = sum(quota[s] / have[s][0] * have[s][1] for s in names)
     shards = shards or max(8, int(total_docs // DOCS_PER_SHARD))
-    per_shard = split_tree(np.array([len(uses[s]) for s in names], np.int64), shards, rng)
+    groups = min(shards, GROUPS)
+    inner = -(-shards // groups)  # shards of a group
+    per_shard = split_tree(np.array([len(uses[s]) for s in names], np.int64), groups, rng)
     plan = []
     for j, s in enumerate(names):
         order, at = rng.permutation(len(uses[s])), 0
-        for shard in range(shards):
-            for k in order[at : at + per_shard[shard, j]]:
+        for g in range(groups):
+            for k in order[at : at + per_shard[g, j]]:
                 b, u, cap = uses[s][k]
-                plan.append((s, b, u, shard, None if np.isinf(cap) else cap))
-            at += per_shard[shard, j]
-    # at most MAX_BLOCKS x max_repeats rows per source
-    chosen = spark.createDataFrame(plan, "source string, block int, use_no int, shard int, cap double")
-    drawn = placed.join(F.broadcast(chosen), ["source", "block"])
-    running = Window.partitionBy("source", "block", "use_no").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+                plan.append((s, b, u, g, None if np.isinf(cap) else cap))
+            at += per_shard[g, j]
+    # at most BLOCKS x max_repeats rows per source
+    chosen = spark.createDataFrame(plan, "source string, block int, use_no int, grp int, cap double")
+    drawn = placed.join(small_side(chosen, len(plan)), ["source", "block"])
+    # one block of a source is cut: whole sub-blocks up to the one that crosses the quota, and there by document
+    part = drawn.where("cap is not null")
+    part_keys = ["source", "block", "use_no"]
+    subs = part.groupBy(*part_keys, "sub").agg(F.sum("tokens").alias("_t"))
+    before = Window.partitionBy(*part_keys).orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
+    subs = subs.withColumn("_before", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
+    running = Window.partitionBy(*part_keys, "sub").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # the document that crosses the quota stays when more than half of it is within
-    cut = drawn.where("cap is not null").withColumn("_sum", F.sum("tokens").over(running)).where(F.col("_sum") - F.col("tokens") / 2 <= F.col("cap")).drop("_sum")
+    summed = part.join(subs, [*part_keys, "sub"]).withColumn("_sum", F.col("_before") + F.sum("tokens").over(running))
+    cut = summed.where(F.col("_sum") - F.col("tokens") / 2 <= F.col("cap")).drop("_sum", "_before")
     every = drawn.where("cap is null").unionByName(cut)
+    if inner == 1:
+        every = every.withColumn("shard", F.col("grp"))
+    else:
+        keys = ["grp", *part_keys, "sub"]
+        every = every.join(_spread_group(every.select(keys).distinct(), keys, inner, seed), keys)
     shuffled = Window.partitionBy("shard").orderBy(F.xxhash64("doc_id", "use_no", F.lit(seed + 2)), "doc_id", "use_no")
     return every.withColumn("position", F.row_number().over(shuffled) - 1).select("shard", "position", "doc_id", "source", "use_no", "tokens")
 
 
+def _spread_group(subs: DataFrame, keys: list[str], inner: int, seed: int) -> DataFrame:
+    """Shard of every drawn sub-block: the tree again, over the ``inner`` shards of each group."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        group = int(pdf["grp"].iloc[0])
+        pdf = pdf.sort_values(keys, ignore_index=True)
+        rng = np.random.default_rng((seed, group))
+        names, held = np.unique(pdf["source"].to_numpy(dtype=str), return_counts=True)
+        counts = split_tree(held.astype(np.int64), inner, rng)
+        shard = np.zeros(len(pdf), np.int64)
+        for j, name in enumerate(names):
+            mine = np.flatnonzero(pdf["source"].to_numpy(dtype=str) == name)
+            shard[rng.permutation(mine)] = np.repeat(np.arange(inner), counts[:, j])
+        return pdf.assign(shard=(group * inner + shard).astype("int32"))
+
+    return subs.groupBy("grp").applyInPandas(run, "grp int, source string, block int, use_no int, sub int, shard int")
+
+
 def document_uses(mixed: DataFrame) -> DataFrame:
     return mixed.groupBy("doc_id", "source").agg(F.count("*").cast("int").alias("uses"), F.max("tokens").alias("tokens"))
 

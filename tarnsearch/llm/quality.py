@@ -3,7 +3,8 @@
 The statistics are those of ``textstats``.  Gradient-boosted trees are fitted on a bounded sample of at
 most about ``fit_rows`` texts with weak labels (clear prose, clear structural junk; unclear texts stay out
 of the sample), and their margin is calibrated to a probability on a hand-checked holdout that was not
-used in fitting (``HOLDOUT``, kinds of text written for the purpose).  Every text is scored.
+used in fitting (``HOLDOUT``, kinds of text written for the purpose, and ``ROWS``, texts of a table that the
+weak rules mostly leave open).  Every text is scored.
 
 A null text has null statistics and no verdict; an empty one has zeros and is no prose.  Repeated ids are
 scored alike (one row each with ``unique_ids=False``); an empty table gives no rows; extra columns are
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnsearch.llm.common import one_row_per_id
-from tarnsearch.llm.holdout import HOLDOUT
+from tarnsearch.llm.holdout import HOLDOUT, ROWS
 from tarnsearch.llm.textstats import FEATURES, statistics
 from tarnsearch.session import write_shared
 
@@ -94,7 +95,7 @@ def fitted(stats: DataFrame, common: dict[str, frozenset], fit_rows: int, rounds
     parts = [labelled.where((F.col("label") == y) & (place < min(1.0, fit_rows / 2 / n))) for y, n in sorted(sizes.items())]
     sample = write_shared(parts[0].unionByName(parts[1]).coalesce(2), "fit-sample")
     model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=depth, maxBins=64, minInstancesPerNode=8, stepSize=0.2, seed=seed).fit(vectors.transform(sample))
-    held = spark.createDataFrame([(int(y), *statistics(t, common)) for y, t in HOLDOUT], "label int, " + ", ".join(f"{f} double" for f in FEATURES))
+    held = spark.createDataFrame([(int(y), *statistics(t, common)) for y, t in (*HOLDOUT, *ROWS)], "label int, " + ", ".join(f"{f} double" for f in FEATURES))
     scored = model.transform(vectors.transform(held)).select("label", "rawPrediction").collect()
     return vectors, model, platt([r["rawPrediction"][1] for r in scored], [r["label"] for r in scored])
 

@@ -14,12 +14,16 @@ from tarnsearch.session import table, write_shared
 UNIQUE = {"unique_ids": True}
 
 
+#: TESTDATA asks for every line in five documents of a site, in excess or not.
+EVERY_KIND = {"kinds": ("excess", "shared")}
+
+
 def p1_found(spark, d):
-    return sitelines.repeated_lines(table(spark, d, "crawled_document"), **UNIQUE).select("site", "line").distinct()
+    return sitelines.repeated_lines(table(spark, d, "crawled_document"), **EVERY_KIND, **UNIQUE).select("site", "line").distinct()
 
 
 def p1_clean(spark, d):
-    return sitelines.remove_repeated_lines(table(spark, d, "crawled_document"), **UNIQUE)
+    return sitelines.remove_repeated_lines(table(spark, d, "crawled_document"), **EVERY_KIND, **UNIQUE)
 
 
 def _pages(spark, d):

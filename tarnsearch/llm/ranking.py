@@ -2,7 +2,7 @@
 
 Scores are replaced by their mean ranks within the group (a query), which removes scale and shape.  The
 first principal component of the ranks, from a correlation matrix aggregated over all rows, weighs them;
-its sign and the declared directions (+1: higher is better) orient it.  Items are sorted by projection.
+each loading takes the sign of its declared direction (+1: higher is better).  Items are sorted by projection.
 
 A missing or null score ranks below every score of its kind, all missing ones level.  Of repeated
 (group, item, kind) rows the highest score counts; rows with a null group or item are left out.  Equal
@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnsearch.llm.common import small_side
 from tarnsearch.session import write_shared
 
 #: Rows of a group that one window task ranks; larger groups are cut at quantiles of the ranked column.
@@ -24,26 +25,30 @@ ROWS_PER_TASK = 200_000
 def grouped_ranks(df: DataFrame, group: list[str], value: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Adds ``rank_lo`` (rows of the group with a smaller value, null being smallest), ``ties`` and ``group_rows``.
 
-    Groups above ``rows_per_task`` are cut into value ranges that are ranked apart and put together by the
-    counts of the ranges below, so a group holding a third of all rows is spread over many tasks.
+    Where a group has more than ``rows_per_task`` rows, distinct values are counted first and ranked in ranges
+    put together by the counts of the ranges below; nulls need a count and no order.  So neither a group
+    holding a third of all rows, nor its nulls, nor a value that many of its rows share is one task's work.
     """
-    sizes = df.groupBy(*group).agg(F.count("*").alias("group_rows"))
-    most = sizes.agg(F.max("group_rows")).first()[0] or 0
+    sizes = write_shared(df.groupBy(*group).agg(F.count("*").alias("group_rows"), F.count_if(F.col(value).isNull()).alias("_nulls")), "group-sizes")
+    known = sizes.agg(F.max("group_rows").alias("most"), F.count("*").alias("n"), F.count_if(F.col("group_rows") > rows_per_task).alias("hot")).first()
+    most = known["most"] or 0
     if most <= rows_per_task:
         w = Window.partitionBy(*group)
         return df.withColumn("rank_lo", F.rank().over(w.orderBy(F.col(value).asc())) - 1).withColumn("ties", F.count("*").over(Window.partitionBy(*group, value))).withColumn("group_rows", F.count("*").over(w))
     cuts = int(min(10_000, -(-2 * most // rows_per_task)))
     points = [i / cuts for i in range(1, cuts)]
-    hot = sizes.where(F.col("group_rows") > rows_per_task)
-    borders = df.join(hot.select(group), group, "left_semi").groupBy(*group).agg(F.percentile_approx(value, points, 10_000).alias("_borders"))
-    cut = df.join(F.broadcast(borders), group, "left").withColumn("_range", F.when(F.col(value).isNull(), -1).otherwise(F.coalesce(F.size(F.filter(F.col("_borders"), lambda b: b < F.col(value))), F.lit(0)))).drop("_borders")
-    cut = cut.withColumn("_range", F.greatest(F.col("_range"), F.lit(-1)))
-    counts = cut.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
-    below = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0))).withColumn("group_rows", F.sum("_n").over(Window.partitionBy(*group))).drop("_n")
-    inside = Window.partitionBy(*group, "_range")
-    ranked = cut.withColumn("rank_lo", F.rank().over(inside.orderBy(F.col(value).asc())) - 1).withColumn("ties", F.count("*").over(Window.partitionBy(*group, "_range", value)))
-    return ranked.join(offsets, [*group, "_range"]).withColumn("rank_lo", F.col("rank_lo") + F.col("_below")).drop("_range", "_below")
+    values = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
+    hot = sizes.where(F.col("group_rows") > rows_per_task).select(group)
+    borders = df.join(small_side(hot, known["hot"]), group, "left_semi").groupBy(*group).agg(F.percentile_approx(value, points, 10_000).alias("_borders"))
+    cut = values.join(small_side(borders, known["hot"] * cuts), group, "left").withColumn("_range", F.greatest(F.lit(0), F.coalesce(F.size(F.filter("_borders", lambda b: b < F.col(value))), F.lit(0)))).drop("_borders")
+    cut = write_shared(cut, "value-counts")
+    counts = cut.groupBy(*group, "_range").agg(F.sum("_c").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most ``cuts`` rows a group
+    offsets = counts.withColumn("_below", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = Window.partitionBy(*group, "_range").orderBy(F.col(value).asc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = cut.join(offsets, [*group, "_range"]).select(*group, value, (F.col("_below") + F.coalesce(F.sum("_c").over(inside), F.lit(0))).alias("_lo"), "_c")
+    both = df.join(ranked, [*group, value], "left").join(small_side(sizes, known["n"]), group)
+    return both.withColumn("rank_lo", F.when(F.col(value).isNull(), 0).otherwise(F.col("_lo") + F.col("_nulls"))).withColumn("ties", F.coalesce("_c", "_nulls")).drop("_lo", "_c", "_nulls")
 
 
 def first_component(ranks: DataFrame, columns: list[str], directions: list[int]) -> tuple[list[float], list[float], list[float]]:
@@ -62,8 +67,7 @@ def first_component(ranks: DataFrame, columns: list[str], directions: list[int])
     v = vectors[:, -1] * [1.0 if s > 1e-12 else 0.0 for s in sd]
     if not v.any():
         v = np.array(directions, float) / np.sqrt(k)
-    if (v * directions).sum() < 0:
-        v = -v
+    v = np.abs(v) * np.sign(directions)  # no score may count against its declared direction
     return [row[f"m{i}"] or 0.0 for i in range(k)], [s or 1.0 for s in sd], [float(x) for x in v]
 
 
@@ -101,7 +105,7 @@ def head(projected: DataFrame, group: str, item: str, k: int) -> DataFrame:
 
 
 def full_order(projected: DataFrame, group: str, item: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Position of every item in its group, 1 first; large groups are cut into ranges."""
-    ranked = grouped_ranks(projected.withColumn("_down", -F.col("projection")), [group], "_down", rows_per_task)
-    tie = Window.partitionBy(group, "_down").orderBy(item)
-    return ranked.withColumn("position", (F.col("rank_lo") + F.row_number().over(tie)).cast("long")).select(group, item, "position", "projection")
+    """Position of every item (a number) in its group, 1 first; large groups and long runs of equal projections are cut into ranges."""
+    ranked = grouped_ranks(projected.withColumn("_down", -F.col("projection")), [group], "_down", rows_per_task).withColumnRenamed("rank_lo", "_base").drop("ties", "group_rows")
+    tied = grouped_ranks(ranked, [group, "_down"], item, rows_per_task)
+    return tied.withColumn("position", (F.col("_base") + F.col("rank_lo") + 1).cast("long")).select(group, item, "position", "projection")

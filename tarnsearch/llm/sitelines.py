@@ -2,9 +2,10 @@
 
 Every line is brought to a comparison form (lower case, digit runs as ``#``, runs of blanks as one
 blank).  Per site and line the number of documents is compared with the number outside the site by a
-log-likelihood ratio; Benjamini-Hochberg on the ratios controls the false discoveries.  A line that
-is as frequent everywhere (``back to top``) shows no excess in any one site, so lines that recur
-without excess are kept as ``shared``: the problem asks for both.
+log-likelihood ratio; Benjamini-Hochberg on the ratios controls the false discoveries.  A line in significant
+excess is of kind ``excess``; one that recurs in the site but is as frequent everywhere (``back to
+top``) shows no excess and is ``shared``.  ``kinds`` says which are found or removed: those in excess,
+unless the caller asks for more.
 
 Nulls: rows without id, uri or site are not counted and are returned unchanged.  A null body stays
 null, a body made of repeated lines only becomes the empty string.  Ties don't arise (counts and a
@@ -94,24 +95,32 @@ def line_counts(docs: DataFrame, id_col="doc_id", uri_col="uri", text_col="body"
     return spark.createDataFrame([], tested.schema).withColumn("kind", F.lit("shared")) if n_often == 0 else tested.withColumn("kind", kind)
 
 
-def repeated_lines(docs: DataFrame, id_col="doc_id", uri_col="uri", text_col="body", *, min_docs=5, rate=0.01, unique_ids=False) -> DataFrame:
+def _key(site: str, line_hash: Column) -> Column:
+    """Site and line in one number, so that what is broadcast has a known width."""
+    return F.xxhash64(F.col(site), line_hash)
+
+
+def _marked(counts: DataFrame, kinds) -> DataFrame:
+    return counts.where(F.col("kind").isin(list(kinds))).select(_key("site", F.col("line_hash")).alias("key"), "outside_docs", "llr", "kind")
+
+
+def repeated_lines(docs: DataFrame, id_col="doc_id", uri_col="uri", text_col="body", *, kinds=("excess",), min_docs=5, rate=0.01, unique_ids=False) -> DataFrame:
     """(site, line, docs, outside_docs, llr, kind): the repeated lines in their comparison form.
 
     The counts are made again on the lines themselves, so equal hashes of different lines do no harm.
     """
-    counts = line_counts(docs, id_col, uri_col, text_col, min_docs=min_docs, rate=rate, unique_ids=unique_ids)
+    counts = _marked(line_counts(docs, id_col, uri_col, text_col, min_docs=min_docs, rate=rate, unique_ids=unique_ids), kinds)
     n = counts.count()
-    lines = _lines(one_row_per_id(docs, id_col, unique_ids), id_col, uri_col, text_col).withColumn("line_hash", F.xxhash64("line"))
-    keys = ["site", "line_hash"]
+    lines = _lines(one_row_per_id(docs, id_col, unique_ids), id_col, uri_col, text_col).withColumn("key", _key("site", F.xxhash64("line")))
     if small_side(counts, n) is not counts:
-        lines = lines.join(F.broadcast(counts.select(keys)), keys, "left_semi")
-    exact = lines.groupBy("site", "line_hash", "line").agg(F.count("*").alias("exact_docs")).where(F.col("exact_docs") >= min_docs)
-    return exact.join(small_side(counts, n), keys).select("site", "line", F.col("exact_docs").alias("docs"), "outside_docs", "llr", "kind")
+        lines = lines.join(F.broadcast(counts.select("key")), "key", "left_semi")
+    exact = lines.groupBy("site", "key", "line").agg(F.count("*").alias("exact_docs")).where(F.col("exact_docs") >= min_docs)
+    return exact.join(small_side(counts, n), "key").select("site", "line", F.col("exact_docs").alias("docs"), "outside_docs", "llr", "kind")
 
 
-def remove_repeated_lines(docs: DataFrame, id_col="doc_id", uri_col="uri", text_col="body", *, min_docs=5, rate=0.01, unique_ids=False) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, id_col="doc_id", uri_col="uri", text_col="body", *, kinds=("excess",), min_docs=5, rate=0.01, unique_ids=False) -> DataFrame:
     """(id, site, body, removed): every body without the repeated lines of its site, the rest in its old order."""
-    counts = line_counts(docs, id_col, uri_col, text_col, min_docs=min_docs, rate=rate, unique_ids=unique_ids)
+    counts = _marked(line_counts(docs, id_col, uri_col, text_col, min_docs=min_docs, rate=rate, unique_ids=unique_ids), kinds)
     n = counts.count()
     docs = one_row_per_id(docs, id_col, unique_ids)
     base = docs.select(F.col(id_col).alias("_id"), host(F.col(uri_col)).alias("_site"), F.col(text_col).alias("_text"))
@@ -121,14 +130,15 @@ def remove_repeated_lines(docs: DataFrame, id_col="doc_id", uri_col="uri", text_
     parts = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("text"), F.lit(None).cast("long").alias("hash"))), F.coalesce(numbered, F.array()))
     lines = base.select("_id", "_site", F.col("_text").isNull().alias("_null"), F.posexplode(parts).alias("_pos", "_part"))
     lines = lines.select("_id", "_site", "_null", "_pos", F.col("_part.text").alias("_line"), F.col("_part.hash").alias("_hash"))
-    marks = counts.select(F.col("site").alias("_s"), F.col("line_hash").alias("_h"))
+    lines = lines.withColumn("_key", F.when(F.col("_site").isNotNull() & F.col("_hash").isNotNull(), _key("_site", F.col("_hash"))))
+    marks = counts.select(F.col("key").alias("_h"))
     if small_side(marks, n) is not marks:
-        kept = lines.join(F.broadcast(marks), (F.col("_site") == F.col("_s")) & (F.col("_hash") == F.col("_h")), "left_anti")
+        kept = lines.join(F.broadcast(marks), F.col("_key") == F.col("_h"), "left_anti")
     else:  # a line may be in a third of all rows: its key is spread over 64 salts
         salts = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("_k")
         salt = F.pmod(F.xxhash64("_id"), F.lit(64)).cast("int")
-        many = marks.select("_s", "_h", salts)
-        kept = lines.join(many, (F.col("_site") == F.col("_s")) & (F.col("_hash") == F.col("_h")) & (salt == F.col("_k")), "left_anti")
+        many = marks.select("_h", salts)
+        kept = lines.join(many, (F.col("_key") == F.col("_h")) & (salt == F.col("_k")), "left_anti")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_pos") > 0, F.struct("_pos", "_line")))), lambda x: x["_line"]), "\n")
     return kept.groupBy("_id").agg(F.first("_site").alias("site"), F.first("_null").alias("_null"), body.alias("_body"), F.count("*").alias("_kept")).select(
         F.col("_id").alias(id_col), "site", F.when(~F.col("_null"), F.col("_body")).alias(text_col), (F.col("_kept") - 1).cast("int").alias("kept_lines")
