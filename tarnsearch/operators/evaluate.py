@@ -50,6 +50,13 @@ def topic_scores(run: DataFrame, qrels: DataFrame, k: int = 10, depth: int = 100
     )
 
 
+def skipped_topics(topics: DataFrame, qrels: DataFrame, topic: str = "topic") -> DataFrame:
+    """One row: topics asked for, and those left out because nothing relevant is known for them."""
+    known = qrels.where("grade > 0").select("topic").distinct().withColumn("_known", F.lit(True))
+    asked = topics.select(F.col(topic).alias("topic")).where("topic is not null").distinct().join(known, "topic", "left")
+    return asked.agg(F.count("*").alias("topics"), F.count_if(F.col("_known").isNull()).alias("skipped"))
+
+
 def summary(scores: DataFrame) -> DataFrame:
     """Means over topics: one row."""
     mean = lambda c, n: F.coalesce(F.avg(c), F.lit(0.0)).alias(n)

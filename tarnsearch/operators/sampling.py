@@ -38,7 +38,8 @@ class Rng:
 def sample(population: int, wanted: int, seed: int) -> list[int]:
     """Distinct numbers below ``population``, ascending; all of them when that many are wanted.
 
-    A sparse Fisher-Yates shuffle of which only the first draws are made.
+    A sparse Fisher-Yates shuffle of which only the first draws are made; which numbers are drawn for a seed
+    is fixed by the published generator and this order of draws.
     """
     rng, moved, out = Rng(seed), {}, []
     if wanted >= population:

@@ -185,6 +185,7 @@ ORACLE = {
     "index_stats": f"WITH {TOKENS} SELECT (SELECT count(*) FROM lens) AS documents, (SELECT count(DISTINCT term) FROM tok) AS terms, (SELECT round(avg(length), 6) FROM lens) AS average_length",
     "robots_parse": f"WITH {_URLS} SELECT DISTINCT host, rules, CAST(delay AS DOUBLE) AS delay, sitemaps FROM u JOIN (VALUES {_ROBOTS}) v(n, rules, delay, sitemaps) ON n = length(host) % 7 WHERE host <> ''",
     "robots_status": f"WITH {_URLS} SELECT DISTINCT host, status, rules FROM u JOIN (VALUES {_STATUS}) v(n, status, rules) ON n = length(host) % 5 WHERE host <> ''",
+    "skipped_topics": f"WITH {_RUN}, q AS (SELECT DISTINCT qid AS topic FROM search_query WHERE qid IS NOT NULL) SELECT count(*) AS topics, count(*) FILTER (topic NOT IN (SELECT topic FROM qr WHERE grade > 0)) AS skipped FROM q",
     "trec_roundtrip": f"WITH {_RUN} SELECT topic, uri, grade FROM qr",
     "tie_report": """WITH h AS (SELECT qid, scorer, doc_id, max(score) AS score FROM hit WHERE score IS NOT NULL AND doc_id IS NOT NULL GROUP BY ALL), b AS (SELECT *, count(*) OVER (PARTITION BY qid, score) AS members FROM h WHERE scorer = 'body'),
  t AS (SELECT qid, doc_id FROM h WHERE scorer = 'title' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) = 1)

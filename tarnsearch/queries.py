@@ -50,7 +50,7 @@ def _ranks(spark, d) -> DataFrame:
 _kept: dict[tuple, search.Index] = {}
 
 
-def _index(spark, d) -> search.Index:
+def kept_index(spark, d) -> search.Index:
     """The index of crawled_document: built by the first query that needs it, searched by all later ones of the session."""
     files = tuple(sorted((r[0], str(r[1]), r[2]) for r in spark.read.format("binaryFile").load(f"{d}/crawled_document.parquet").select("path", "modificationTime", "length").collect()))
     key = (spark.sparkContext.applicationId, shared_dir(spark), files)
@@ -60,7 +60,7 @@ def _index(spark, d) -> search.Index:
 
 
 def _ranked(spark, d) -> search.Index:
-    return _index(spark, d).with_ranks(_ranks(spark, d))
+    return kept_index(spark, d).with_ranks(_ranks(spark, d))
 
 
 def _fielded(spark, d) -> DataFrame:
@@ -105,29 +105,29 @@ def idf_table(spark, d):
 
 
 def bm25_or_topk(spark, d):
-    return search.search(_index(spark, d), OR_QUERY)
+    return search.search(kept_index(spark, d), OR_QUERY)
 
 
 def bm25_single_term(spark, d):
-    return search.search(_index(spark, d), "sawmill", 50)
+    return search.search(kept_index(spark, d), "sawmill", 50)
 
 
 def bm25_b_sweep(spark, d):
-    parts = [search.search(_index(spark, d), OR_QUERY, params=Params(b=b)).withColumn("b", F.lit(b)) for b in (0.0, 0.3, 0.75, 1.0)]
+    parts = [search.search(kept_index(spark, d), OR_QUERY, params=Params(b=b)).withColumn("b", F.lit(b)) for b in (0.0, 0.3, 0.75, 1.0)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 def bm25_k1_zero(spark, d):
-    return search.search(_index(spark, d), OR_QUERY, params=Params(k1=0.0))
+    return search.search(kept_index(spark, d), OR_QUERY, params=Params(k1=0.0))
 
 
 def bm25_exclusion(spark, d):
-    return search.search(_index(spark, d), "ledger saddle header -sleek -damping")
+    return search.search(kept_index(spark, d), "ledger saddle header -sleek -damping")
 
 
 def phrase_docs(spark, d):
     """Documents with the phrase in one field."""
-    found = _index(spark, d).postings.where(F.col("term").isin("the", "same")).select("term", "doc_id", F.inline("fields"))
+    found = kept_index(spark, d).postings.where(F.col("term").isin("the", "same")).select("term", "doc_id", F.inline("fields"))
     return search.phrase_matches(found.select("term", "doc_id", "field", F.explode("positions").alias("pos")), query.query_table(spark, {"q": '"the same"'})).select("doc_id")
 
 
@@ -278,7 +278,7 @@ def ranks_by_url(spark, d):
 
 def index_stats(spark, d):
     """Documents, terms and average length of the kept index."""
-    made = _index(spark, d)
+    made = kept_index(spark, d)
     terms = made.postings.select("term").distinct().count()
     return made.stored.agg(F.count("*").alias("documents"), F.lit(terms).cast("long").alias("terms"), F.round(F.avg("length"), 6).alias("average_length"))
 
@@ -368,6 +368,11 @@ def ir_summary(spark, d):
     return s.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
 
 
+def skipped_topics(spark, d):
+    """Queries, and those among them without a relevant document in the judgements."""
+    return evaluate.skipped_topics(table(spark, d, "search_query"), _qrels(spark, d), "qid")
+
+
 def trec_roundtrip(spark, d):
     """The judgements written as lines of text and read back."""
     path = shared_path(spark, "judgements")
@@ -390,7 +395,7 @@ def tie_groups(spark, d):
 
 
 def known_item(spark, d):
-    return sampling.known_item_report(sampling.known_items(_docs(spark, d), wanted=100, made=_index(spark, d)))
+    return sampling.known_item_report(sampling.known_items(_docs(spark, d), wanted=100, made=kept_index(spark, d)))
 
 
 def jump_hash_shards(spark, d):
@@ -440,5 +445,5 @@ def stream_equals_batch(spark, d):
 
 
 def queries():
-    skip = {"queries", "shared_dir", "shared_path"}
+    skip = {"queries", "kept_index"}
     return {n: f for n, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n not in skip}

@@ -42,3 +42,39 @@ def cranfield_qrels(rows: DataFrame) -> DataFrame:
 def query_text(text):
     """A topic as query text: characters with a meaning in the query language go."""
     return F.translate(text, '-"', "  ")
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """(n, id, part): the records of a file of ``.I`` entries in their order; Latin-1, one small file."""
+    whole = spark.read.format("binaryFile").load(path).select(F.regexp_replace(F.decode("content", "ISO-8859-1"), r"\r\n", "\n").alias("text"))
+    parts = whole.select(F.posexplode(F.split("text", r"(?m)^\.I (?=\d+[ \t]*$)")).alias("n", "part")).where("n > 0")
+    return parts.select("n", F.regexp_extract("part", r"^(\d+)", 1).cast("long").alias("id"), F.regexp_replace("part", r"^\d+[ \t]*\n?", "").alias("part"))
+
+
+def _section(part, letter: str):
+    return F.regexp_extract(part, rf"(?ms)^\.{letter}[ \t]*$(.*?)(?=^\.[TABW][ \t]*$|\z)", 1)
+
+
+def _flat(text):
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def cranfield_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, title, body); the title is put before a body that doesn't open with it."""
+    rows = _records(spark, path).select(F.col("id").alias("doc_id"), _flat(_section(F.col("part"), "T")).alias("title"), F.trim(F.regexp_replace(_section(F.col("part"), "W"), r"^\s+|\s+$", "")).alias("text"))
+    opens = (F.col("title") != "") & F.lower(_flat(F.col("text"))).startswith(F.lower("title"))
+    body = F.when(opens, F.col("text")).otherwise(F.regexp_replace(F.concat_ws("\n", "title", "text"), r"^\s+|\s+$", ""))
+    return rows.select("doc_id", "title", body.alias("body"))
+
+
+def cranfield_topics(spark: SparkSession, path: str) -> DataFrame:
+    """(id, text): queries numbered by their order from 1, whatever number they declare; no minus or quote is left to be read as query language."""
+    text = _flat(F.regexp_replace(F.col("part"), r"(?m)^\.W", " "))
+    return _records(spark, path).select(F.col("n").cast("string").alias("id"), _flat(F.regexp_replace(text, r'(?<!\w)-|"', " ")).alias("text"))
+
+
+def cranfield_judgements(spark: SparkSession, path: str) -> DataFrame:
+    """(n, query, doc, code) of lines with three fields, for :func:`cranfield_qrels`; another code than 1 to 4 or -1 is an error."""
+    rows = _lines(spark, path).withColumn("f", F.split("line", r"\s+")).where(F.size("f") == 3)
+    row = rows.select("n", *[F.col("f")[i].cast("int").alias(c) for i, c in enumerate(("query", "doc", "code"))])
+    return row.where(_refuse(F.col("code").isin(1, 2, 3, 4, -1), F.col("n"), "relevance code"))

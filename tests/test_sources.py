@@ -44,6 +44,20 @@ def test_judgements_and_topics(spark, tmp_path):
     assert {(r["topic"], r["uri"]): r["grade"] for r in trec.cranfield_qrels(cran).collect()} == {("1", "5"): 4, ("1", "6"): 1, ("2", "5"): 0}
 
 
+def test_collection_files(spark, tmp_path):
+    docs, queries, relations = tmp_path / "docs", tmp_path / "queries", tmp_path / "relations"
+    docs.write_bytes(".I 1\n.T\nthe old\nmill .\n.A\nberg,a.\n.B\nj. 1\n.W\nthe old mill .\nit stands\nby the a\xf1o .\n.I 2\n.T\nempty one\n.A\n.B\n.W\n.I 3\n.T\nother\n.W\nbody only\n".encode("latin-1"))
+    queries.write_text(".I 001\n.W\nwhat -is the\n\"well-known\" mill\n.I 004\n.W\nsecond .\n")
+    relations.write_text("1 1 2\n1 3 -1\nnot one line here\n2 2 1\n")
+    assert [tuple(r) for r in trec.cranfield_documents(spark, str(docs)).orderBy("doc_id").collect()] == [(1, "the old mill .", "the old mill .\nit stands\nby the año ."), (2, "empty one", "empty one"), (3, "other", "other\nbody only")]
+    assert [tuple(r) for r in trec.cranfield_topics(spark, str(queries)).orderBy("id").collect()] == [("1", "what is the well-known mill"), ("2", "second .")]
+    rows = trec.cranfield_judgements(spark, str(relations))
+    assert {(r["topic"], r["uri"]): r["grade"] for r in trec.cranfield_qrels(rows).collect()} == {("1", "1"): 3, ("1", "3"): 0, ("2", "2"): 4}
+    relations.write_text("1 1 7\n")
+    with pytest.raises(Exception, match="relevance code"):
+        trec.cranfield_judgements(spark, str(relations)).collect()
+
+
 def test_merge_policy():
     assert [tier_of(s) for s in (0, 9, 10, 99, 100, 10**9)] == [0, 0, 1, 1, 2, 9] and tier_of(10**30) <= 63 and tier_of(8, 1) == 3
     assert next_merge([5] * 7) == [] and next_merge([5] * 9) == list(range(8))
