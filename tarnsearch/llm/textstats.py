@@ -35,10 +35,21 @@ FEATURES = (
 )
 _LIST = re.compile(r"^\s*([-–•*+]|\d{1,3}[.)])\s+\S")
 _CODE = re.compile(r"[;{}]\s*$|^\s*[\[\]{}]|\w+\s*=\s*\S+$|\w\(\)|::|^\s*(if|for|let|export|return|import|def)\b.*[({=]|:\s*(true|false|null|\d+)$|=\d")
-_END = re.compile(r"[.!?…:][\"'»”)\]]*$")
+# Without one of these no alternative above fits.
+_CODE_MARKS = frozenset(";{}[]=(:")
+_ENDS = frozenset(".!?…:")
+_LETTERS, _DIGITS, _BLANKS, _UPPER = (bytes(c for c in range(128) if f(chr(c))) for f in (str.isalpha, str.isdigit, str.isspace, str.isupper))
 BLOCK = 4096
 
 
+def _counts(text: str) -> tuple[int, int, int, int]:
+    """Letters, digits, blanks and capitals of a text."""
+    if text.isascii():
+        data = text.encode()
+        return tuple(len(data) - len(data.translate(None, kind)) for kind in (_LETTERS, _DIGITS, _BLANKS, _UPPER))
+    return tuple(sum(map(f, text)) for f in (str.isalpha, str.isdigit, str.isspace, str.isupper))
+
+
 def statistics(text: str, common: dict[str, frozenset]) -> list[float]:
     """Values of :data:`FEATURES`; a text without words gives zeros."""
     words = text.split()
@@ -46,9 +57,7 @@ def statistics(text: str, common: dict[str, frozenset]) -> list[float]:
     if not n:
         return [0.0] * len(FEATURES)
     lines = [x for x in map(clean, text.split("\n")) if x]
-    letters = sum(map(str.isalpha, text))
-    digits = sum(map(str.isdigit, text))
-    blanks = sum(map(str.isspace, text))
+    letters, digits, blanks, upper = _counts(text)
     solid = max(1, size - blanks)
     low = [w.strip(".,;:!?\"'()[]«»“”").lower() for w in words]
     tally = Counter(low)
@@ -63,7 +72,7 @@ def statistics(text: str, common: dict[str, frozenset]) -> list[float]:
     packed = sum(len(zlib.compress(b, 1)) for b in blocks) / len(data)
     m = len(lines)
     return [
-        float(n), sum(map(len, words)) / n, (solid - letters - digits) / solid, sum(bool(_END.search(x)) for x in lines) / m, known[best] / n, digits / solid, sum(map(str.isupper, text)) / solid, letters / solid,
-        len(tally) / n, max(tally.values()) / n, sum(map(text.count, ".!?…")) / n, n / m, packed, sum(bool(_LIST.match(x)) for x in lines) / m, sum(bool(_CODE.search(x)) for x in lines) / m,
+        float(n), sum(map(len, words)) / n, (solid - letters - digits) / solid, sum([x.rstrip("\"'»”)]")[-1:] in _ENDS for x in lines]) / m, known[best] / n, digits / solid, upper / solid, letters / solid,
+        len(tally) / n, max(tally.values()) / n, sum(map(text.count, ".!?…")) / n, n / m, packed, sum(bool(_LIST.match(x)) for x in lines) / m, sum([not _CODE_MARKS.isdisjoint(x) and bool(_CODE.search(x)) for x in lines]) / m,
         sum(map(text.count, "|;=>\t/")) / n, sum(len(w) > 20 for w in words) / n, float(distinct_common), sum(map(text.count, "�ÃÂ")) / solid, function / n, sum(navigation(x) for x in lines) / m,
     ]
