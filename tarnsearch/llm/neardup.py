@@ -9,8 +9,9 @@ representative before banding, so a group of copies never meets itself.
 With four rows in 96 bands a pair at similarity 0.5 is missed with probability 0.002, at 0.6 with
 1.7e-6.  Pairs (:func:`similar_pairs`) are all pairs of similar texts, so their number grows with the square
 of a family of edited versions; a bucket of more than ``bucket_rows`` texts is cut into blocks by hash of the
-id that meet in separate tasks, and nothing is dropped.  Classes (:func:`similar_groups`) need no pairs: in a
-bucket only its least text meets the others (:func:`star_links`).
+id that meet in separate tasks, and nothing is dropped.  Classes (:func:`similar_groups`) need no pairs within
+a class: in a bucket the least text meets the others, and then only texts of different classes meet
+(:func:`star_links`).
 
 Nulls and texts shorter than a shingle have no pairs and form classes of their own.  Repeated ids count
 once with ``unique_ids=False``; empty tables give no rows; extra columns are ignored.
@@ -30,6 +31,9 @@ from tarnsearch.session import write_shared
 
 BANDS, BAND_ROWS, SIGNATURE = 96, 4, 192
 
+#: A link at similarity 0.8 fails the signature check with probability 1.4e-8 (2.5e-4 at 3.6).
+LINK_DEVIATIONS = 6.0
+
 
 class _Hashes(dict):
     """Hash of each term, remembered in a bounded table."""
@@ -155,6 +159,55 @@ def _bucket_pairs(keyed: DataFrame, bucket_rows: int) -> DataFrame:
     return pairs.distinct()
 
 
+def _pairs_across(keyed: DataFrame, bucket_rows: int) -> DataFrame:
+    """(a, b) with a < b that share a ``key`` and differ in ``c``; work and rows grow with these pairs, not with all of a bucket.
+
+    In a bucket of more than ``bucket_rows`` texts, those outside its largest class meet all others, both cut into
+    blocks by hash of the id, and every two blocks meet in a task of their own.
+    """
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key", "m")
+    mixed = write_shared(keyed.join(buckets, "key"), "mixed-buckets")
+    grouped = mixed.where(F.col("m") <= bucket_rows).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("c", "id"))).alias("texts"))
+
+    def met(left, right):
+        l, r = np.concatenate(left), np.concatenate(right)
+        both = np.unique(np.stack([np.minimum(l, r), np.maximum(l, r)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    def pairs_of(batches):
+        for batch in batches:
+            lists = batch.column(0)
+            classes, ids = (x.to_numpy() for x in lists.flatten().flatten())
+            offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            left, right, held = [], [], 0
+            for s, e in zip(offsets[:-1], offsets[1:]):
+                after = np.searchsorted(classes[s:e], classes[s:e], "right")  # each text meets the classes after its own
+                many = (e - s) - after
+                left.append(np.repeat(ids[s:e], many))
+                right.append(ids[s + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(after, many)])
+                held += len(left[-1])
+                if held > 1_000_000:
+                    yield met(left, right)
+                    left, right, held = [], [], 0
+            if held:
+                yield met(left, right)
+
+    pairs = grouped.select("texts").mapInArrow(pairs_of, "a long, b long")
+    large = mixed.where(F.col("m") > bucket_rows)
+    if large.limit(1).count():
+        sizes = large.groupBy("key", "c", "m").agg(F.count("*").alias("n"))
+        main = sizes.groupBy("key", "m").agg(F.max(F.struct("n", "c")).alias("most"))
+        blocks = lambda rows: F.ceil(rows / bucket_rows).cast("int")
+        cut = main.select("key", F.col("most.c").alias("main"), blocks(F.col("m") - F.col("most.n")).alias("nx"), blocks(F.col("m")).alias("ny"))
+        members = large.join(cut, "key")
+        block = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+        left = members.where("c != main").select("key", F.col("id").alias("x"), F.col("c").alias("cx"), block(3, "nx").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("by"))
+        right = members.select("key", F.col("id").alias("y"), F.col("c").alias("cy"), "main", block(5, "ny").alias("by"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("bx"))
+        across = left.join(right, ["key", "bx", "by"]).where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))))
+        pairs = pairs.unionByName(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    return pairs.distinct()
+
+
 def _check_signatures(least: float):
     def check(batches):
         for batch in batches:
@@ -193,11 +246,11 @@ def _folded(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int,
     return table.join(small_side(copies, n_repeated), "id", "left_anti") if n_repeated else table, members
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, signature: int) -> DataFrame:
-    """(a, b, similarity) of the candidates at or above ``similarity``: by signature first, then exactly."""
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, signature: int, deviations: float = 3.6) -> DataFrame:
+    """(a, b, similarity) of the candidates at or above ``similarity``: by signature, ``deviations`` below it, then exactly."""
     sigs = reps.select("id", "signature")
     checked = pairs.join(sigs.withColumnsRenamed({"id": "a", "signature": "sa"}), "a").join(sigs.withColumnsRenamed({"id": "b", "signature": "sb"}), "b")
-    margin = 3.6 * float(np.sqrt(similarity * (1 - similarity) / signature))
+    margin = deviations * float(np.sqrt(similarity * (1 - similarity) / signature))
     likely = write_shared(checked.select("a", "b", "sa", "sb").mapInArrow(_check_signatures(similarity - margin), "a long, b long"), "likely-pairs")
     involved = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(small_side(involved, 2 * likely.count()), "id", "left_semi")
@@ -214,34 +267,40 @@ def similar_classes(docs: DataFrame, id_col="doc_id", text_col="body", *, width=
 
 
 def star_links(docs: DataFrame, id_col="doc_id", text_col="body", *, width=5, similarity=0.8, bands=BANDS, rows=BAND_ROWS, signature=SIGNATURE, bucket_rows=2000, seed=11, rounds=4, unique_ids=False) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) that hold the classes together, and copies (id, rep); grows with the texts, not with their pairs.
+    """Links (a, b) that hold the classes together, and copies (id, rep); grows with the texts, not with the pairs of a class.
 
     In every bucket the least id meets the others.  Who isn't similar to it stays in the bucket for the next
-    round, where the least of these meets the rest; what is left after ``rounds`` is paired in full.
+    round, where the least of these meets the rest.  That leaves out pairs of texts that went in different
+    rounds, so after ``rounds`` every two texts of a bucket that the links don't connect are paired.  What
+    remains unmet is connected already: the links have the classes of all similar candidates.
     """
     docs = one_row_per_id(docs, id_col, unique_ids)
     reps, members = _folded(docs, id_col, text_col, width, bands, rows, signature, seed)
     waiting = reps.select("id", F.posexplode("bands").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("key"))
-    found, known = None, None
-    for n in range(rounds):
+    found, known, shared = None, None, None
+    for _ in range(rounds):
         leaders = waiting.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
         met = write_shared(waiting.join(leaders, "key").where("id != a").select("key", "a", F.col("id").alias("b")), "stars")
+        if not met.limit(1).count():
+            break
+        if shared is None:  # the buckets that hold more than one text
+            shared = met.select("key", F.col("b").alias("id")).unionByName(met.select("key", F.col("a").alias("id")).distinct())
         fresh = met.select("a", "b").distinct()
-        if n:
+        if known is not None:
             fresh = fresh.join(known, ["a", "b"], "left_anti")
         fresh = write_shared(fresh, "star-pairs")
-        if not fresh.limit(1).count():
-            break
-        links = write_shared(_verified(fresh, reps, docs, id_col, text_col, width, similarity, signature).select("a", "b"), "star-links")
-        found = links if found is None else found.unionByName(links)
-        known = fresh if known is None else known.unionByName(fresh)
+        if fresh.limit(1).count():
+            links = write_shared(_verified(fresh, reps, docs, id_col, text_col, width, similarity, signature, LINK_DEVIATIONS).select("a", "b"), "star-links")
+            found = links if found is None else found.unionByName(links)
+            known = fresh if known is None else known.unionByName(fresh)
         waiting = write_shared(met.join(found, ["a", "b"], "left_anti").select(F.col("b").alias("id"), "key"), "waiting")
-    else:
-        grouped = waiting.join(waiting.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "key")
-        if grouped.limit(1).count():
-            rest = _bucket_pairs(grouped, bucket_rows).join(known, ["a", "b"], "left_anti")
-            found = found.unionByName(_verified(rest, reps, docs, id_col, text_col, width, similarity, signature).select("a", "b"))
-    return found if found is not None else members.where("false").select(F.col("id").alias("a"), F.col("rep").alias("b")), members
+    if found is None:
+        return members.where("false").select(F.col("id").alias("a"), F.col("rep").alias("b")), members
+    linked = shared.join(connected_components(found), "id", "left").select("id", "key", F.coalesce("component", "id").alias("c"))
+    rest = write_shared(_pairs_across(linked, bucket_rows).join(known, ["a", "b"], "left_anti"), "pairs-across")
+    if rest.limit(1).count():
+        found = found.unionByName(_verified(rest, reps, docs, id_col, text_col, width, similarity, signature, LINK_DEVIATIONS).select("a", "b"))
+    return found, members
 
 
 def similar_pairs(docs: DataFrame, id_col="doc_id", text_col="body", **options) -> DataFrame:
