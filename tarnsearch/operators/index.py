@@ -40,51 +40,83 @@ def tokens(fielded: DataFrame, *carry: str) -> DataFrame:
 
 
 POSTING = "term string, doc_id long, length int, tf int, wtf double, fields array<struct<field:tinyint,positions:array<int>>>"
-#: Postings that leave a worker together; bounds its memory whatever the length of a document.
-_FLUSH = 65_536
+#: Tokens that are sorted together, and postings that leave a worker together; they bound its memory.
+_BLOCK, _FLUSH = 1 << 20, 65_536
 
 
-def _post(batches):
+def _run(ids: list[int], counts: list[list[int]], tokens: list[str]):
+    """Postings of a block of documents as a record batch, sorted by term and document.
+
+    ``counts`` has the tokens of each document's fields, ``tokens`` all of them one after another.
+    """
+    import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
+
+    sizes = np.array(counts, np.int64).reshape(len(ids), len(FIELDS))
+    flat = sizes.ravel()
+    ends = np.cumsum(flat)
+    cell = np.repeat(np.arange(flat.size), flat)  # document and field of every token
+    pos = np.arange(len(tokens)) - (ends - flat)[cell]
+    words = pa.array(tokens, pa.string()).dictionary_encode()
+    order = pc.sort_indices(words.dictionary).to_numpy()
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    doc_ids = np.array(ids, np.int64)
+    places = np.argsort(doc_ids, kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[places] = np.arange(len(ids))
+    doc, field = np.divmod(cell, len(FIELDS))
+    key = number[words.indices.to_numpy()] * max(1, len(ids)) + place[doc]
+    by = np.argsort(key, kind="stable")  # fields and positions stay in their order
+    key, field, pos = key[by], field[by], pos[by]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    entry = np.flatnonzero(np.diff(key * len(FIELDS) + field, prepend=-1))
+    term, at = np.divmod(key[first], max(1, len(ids)))
+    weights = np.array([WEIGHTS[f] for f in sorted(FIELDS, key=FIELDS.get)])
+    offsets = lambda starts, end: pa.array(np.append(starts, end), pa.int32())
+    positions = pa.ListArray.from_arrays(offsets(entry, len(pos)), pa.array(pos, pa.int32()))
+    entries = pa.StructArray.from_arrays([pa.array(field[entry], pa.int8()), positions], ["field", "positions"])
+    fields = pa.ListArray.from_arrays(offsets(np.searchsorted(entry, first), len(entry)), entries)
+    whole = (lambda x: np.add.reduceat(x, first)) if len(first) else (lambda x: x)
+    columns = [
+        words.dictionary.take(pa.array(order[term])),
+        pa.array(doc_ids[places][at], pa.int64()),
+        pa.array(sizes.sum(axis=1)[places][at], pa.int32()),
+        pa.array(np.diff(np.append(first, len(key))), pa.int32()),
+        pa.array(whole(weights[field]), pa.float64()),
+        fields,
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "doc_id", "length", "tf", "wtf", "fields"])
 
-    from tarnsearch.functions.text import py_terms
 
-    entry = pa.list_(pa.struct([("field", pa.int8()), ("positions", pa.list_(pa.int32()))]))
-    names = ["term", "doc_id", "length", "tf", "wtf", "fields"]
-    weights = [(n, WEIGHTS[f]) for f, n in FIELDS.items()]
+def _post(batches):
+    from tarnsearch.functions.text import py_terms
 
-    def made(rows):
-        columns = list(zip(*rows)) or [()] * len(names)
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), entry)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+    def made():
+        run = _run(ids, counts, tokens)
+        return [run.slice(n, _FLUSH) for n in range(0, max(1, run.num_rows), _FLUSH)]
 
-    rows: list[tuple] = []
+    ids, counts, tokens = [], [], []
     for b in batches:
         for doc_id, *texts in zip(*(c.to_pylist() for c in b.columns)):
-            places: dict[str, list] = {}
-            length = 0
-            for (number, _), text in zip(weights, texts):
-                terms_of = py_terms(text) if text else ()
-                length += len(terms_of)
-                for pos, term in enumerate(terms_of):
-                    entries = places.setdefault(term, [])
-                    if not entries or entries[-1][0] != number:
-                        entries.append((number, []))
-                    entries[-1][1].append(pos)
-            for term, entries in places.items():
-                counts = [(n, len(at)) for n, at in entries]
-                rows.append((term, doc_id, length, sum(c for _, c in counts), sum(weights[n][1] * c for n, c in counts), entries))
-            if len(rows) >= _FLUSH:
-                yield made(rows)
-                rows = []
-    yield made(rows)
+            terms_of = [py_terms(text) if text else [] for text in texts]
+            ids.append(doc_id)
+            counts.append([len(t) for t in terms_of])
+            for t in terms_of:
+                tokens += t
+            if len(tokens) >= _BLOCK:
+                yield from made()
+                ids, counts, tokens = [], [], []
+    yield from made()
 
 
 def postings(docs: DataFrame) -> DataFrame:
     """One row per term and document, fields inside, with ascending positions (A1-A3, T5).
 
-    A document's terms are counted where its row is, so no token crosses the network.  The document's
-    length travels with each posting: scoring needs no join to the documents.
+    A document's terms are counted where its row is, so no token crosses the network.  Rows come in runs that
+    are sorted by term and document: a term filter skips most pages of the files they are written to.  The
+    document's length travels with each posting: scoring needs no join to the documents.
     """
     texts = [F.col("title") if "title" in docs.columns else F.lit(None).cast("string"), F.col("body"), F.array_join("anchors", " ") if "anchors" in docs.columns else F.lit(None).cast("string")]
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), *[t.alias(f) for t, f in zip(texts, FIELDS)]).mapInArrow(_post, POSTING)
@@ -96,11 +128,6 @@ def by_field(rows: DataFrame) -> DataFrame:
     return inner.select("term", "doc_id", F.col("field").cast("int").alias("field"), F.size("positions").alias("tf"), "positions")
 
 
-def sorted_postings(rows: DataFrame) -> DataFrame:
-    """Postings in ranges of term and document, sorted: a term filter skips nearly all of the files, and a common term is many ranges."""
-    return rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-
-
 def term_statistics(fielded: DataFrame) -> DataFrame:
     """(term, cf, df) over all fields (A5): occurrences and distinct terms of a document leave one pass and are added per term."""
     whole = F.concat("title", "body", "anchor")

@@ -1,18 +1,19 @@
 """Ranked search for many queries at once.
 
 An :class:`Index` is built once and searched many times.  Only postings of terms that some query names are
-read; lengths travel with them, so no join to the documents is needed for scoring.  Phrases are found by an
-equi-join on the start position.  Shards are a column: one pass answers for all of them.
+read; lengths travel with them, so no join to the documents is needed for scoring.  Queries meet the documents
+in :mod:`matching`.  Shards are a column: one pass answers for all of them.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnsearch.operators import index
+from tarnsearch.operators import index, matching
 from tarnsearch.operators.query import parse, query_table
 from tarnsearch.operators.scoring import Params, authority, idf, length_norm, saturation
 from tarnsearch.session import write_shared
@@ -60,9 +61,8 @@ def of(docs: DataFrame | Index, ranks: DataFrame | None = None) -> Index:
 
 
 def build(docs: DataFrame, ranks: DataFrame | None = None) -> Index:
-    """Write postings and documents to the shared folder; the texts are read once."""
-    made = write_shared(index.postings(docs), "postings-made")
-    return Index(write_shared(index.sorted_postings(made), "postings"), write_shared(stored_table(docs), "stored"), best_ranks(ranks), True)
+    """Write postings and documents to the shared folder; postings are written once and not shuffled."""
+    return Index(write_shared(index.postings(docs), "postings"), write_shared(stored_table(docs), "stored"), best_ranks(ranks), True)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -93,48 +93,52 @@ def _vocabulary(queries: DataFrame) -> tuple[DataFrame, int]:
     return named, named.count()
 
 
-def scored(docs: DataFrame | Index, queries: DataFrame, params: Params = Params(), ranks: DataFrame | None = None, shards: int = 1, local: bool = False) -> DataFrame:
-    """(qid, shard, doc_id, score) of every match; ``shard`` is ``doc_id % shards``.
+def _chunks(queries: DataFrame) -> list[DataFrame]:
+    """The queries in parts of about ``BROADCAST_TERMS`` words, which every task may hold."""
+    none = F.array().cast("array<string>")
+    words = F.size(F.coalesce("terms", none)) + F.size(F.coalesce("excluded", none)) + F.size(F.coalesce(F.flatten(F.coalesce("phrases", F.array().cast("array<array<string>>"))), none)) + 1
+    n = -(-(queries.agg(F.sum(words)).first()[0] or 0) // BROADCAST_TERMS)
+    return [queries] if n <= 1 else [queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)]
+
+
+def best(docs: DataFrame | Index, queries: DataFrame, k: int, params: Params = Params(), ranks: DataFrame | None = None, shards: int = 1, local: bool = False) -> DataFrame:
+    """(qid, shard, doc_id, score): at least the best ``k`` matches of every query and shard, ties by lowest id; ``shard`` is ``doc_id % shards``.
 
+    Matches of queries and documents are far more than postings, so only postings are shuffled: a document's
+    meet in one task, which scores all queries on blocks of documents and keeps the best ``k``.
     With ``local`` a shard scores by its own statistics instead of those of all.
     """
     params.checked()
     made = of(docs, ranks)
+    parts = [_best(made, part, k, params, shards, local) for part in _chunks(queries)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _best(made: Index, queries: DataFrame, k: int, params: Params, shards: int, local: bool) -> DataFrame:
     vocabulary, n_terms = _vocabulary(queries)
     if n_terms <= LITERAL_TERMS:
         own = made.postings.where(F.col("term").isin([r[0] for r in vocabulary.collect()]))
     else:
         own = made.postings.join(_side(vocabulary, n_terms), "term", "left_semi")
-    own = own.withColumn("shard", F.pmod("doc_id", F.lit(shards)).cast("int"))
-    if not made.kept:  # used for frequencies, scores and exclusions; without this every use would split the texts again
+    shard = F.pmod("doc_id", F.lit(shards)).cast("int").alias("shard")
+    own = own.select("*", shard)
+    if not made.kept:  # used for frequencies and scores; without this every use would split the texts again
         own = write_shared(own, "query-postings")
     keys = ["shard"] if local else []
-    sizes = made.stored.select(F.pmod("doc_id", F.lit(shards)).cast("int").alias("shard"), "length").groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average"))
-    # a row per shard, or one
-    statistics = F.broadcast(sizes) if local else None
-    total, average = (F.col("n"), F.col("average")) if local else map(F.lit, sizes.first())
+    sizes = made.stored.select(shard, "length").groupBy(*keys).agg(F.count("*").cast("double").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average"))  # a row per shard, or one
     freqs = own.groupBy("term", *keys).agg(F.count("*").alias("df"))
-    weights = query_terms(queries).join(_side(freqs, n_terms * max(1, shards if local else 1)), "term")
-    if local:
-        weights = weights.join(statistics, "shard")
-    weights = weights.select("qid", "term", *keys, *(["n", "average"] if local else []), idf(total.cast("double"), F.col("df")).alias("idf"))
-    part = F.col("idf") * saturation(params, F.col("wtf"), length_norm(params, F.col("length"), average.cast("double")))
-    matched = own.select("term", "doc_id", "shard", "length", "wtf").join(weights, ["term", *keys]).groupBy("qid", "shard", "doc_id").agg(F.sum(part).alias("base"), *([F.first("n").alias("n")] if local else []))
-    with_phrases = queries.where(F.size("phrases") > 0)
-    if with_phrases.limit(1).count():
-        words = phrase_words(with_phrases).select("term").distinct()
-        rows = own.join(_side(words, n_terms), "term", "left_semi").select("term", "doc_id", F.inline("fields")).select("term", "doc_id", "field", F.explode("positions").alias("pos"))
-        phrased = with_phrases.select("qid").distinct().withColumn("_phrased", F.lit(True))
-        holds = phrase_matches(rows, with_phrases).withColumn("_holds", F.lit(True))
-        matched = matched.join(phrased, "qid", "left").join(holds, ["qid", "doc_id"], "left").where(F.col("_phrased").isNull() | F.col("_holds")).drop("_phrased", "_holds")
-    unwanted = queries.select("qid", F.explode("excluded").alias("term")).distinct()
-    if unwanted.limit(1).count():
-        matched = matched.join(own.select("term", "doc_id").join(unwanted, "term").select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_anti")
-    score = F.col("base")
-    if made.ranks is not None:
-        matched = matched.join(made.ranks, "doc_id", "left")
-        score = score * authority(params, F.coalesce(F.col("rank"), F.lit(0.0)), total.cast("double"))
-    return matched.select("qid", "shard", "doc_id", F.round(score, SCORE_DIGITS).alias("score"))
+    freqs = freqs.join(F.broadcast(sizes), keys) if local else freqs.crossJoin(F.broadcast(sizes))
+    wanted = matching.Wanted.of(queries.select("qid", "terms", "excluded", "phrases").collect())
+    weights = [(r["term"], *[r[c] for c in keys], wanted.ids[r["term"]], wanted.ids[r["term"]] in wanted.phrase_words, r["average"], r["idf"]) for r in freqs.select("term", *keys, "average", idf(F.col("n"), F.col("df")).alias("idf")).collect()]
+    kinds = ["term string", *[f"{c} int" for c in keys], "id int", "placed boolean", "average double", "idf double"]
+    named = _side(made.postings.sparkSession.createDataFrame(weights, ", ".join(kinds)), len(weights))
+    part = F.col("idf") * saturation(params, F.col("wtf"), length_norm(params, F.col("length"), F.col("average")))
+    rows = own.join(named, ["term", *keys]).select("doc_id", "shard", F.col("id").alias("term"), part.alias("part"), F.when(F.col("placed"), F.col("fields")).alias("fields"))
+    if made.ranks is not None:  # a document's authority travels as one more of its postings
+        ranked = made.ranks.where("doc_id is not null and rank > 0").select("doc_id", shard, "rank")
+        ranked = ranked.join(F.broadcast(sizes), keys) if local else ranked.crossJoin(F.broadcast(sizes))
+        rows = rows.unionByName(ranked.select("doc_id", "shard", F.lit(matching.AUTHORITY).alias("term"), authority(params, F.col("rank"), F.col("n")).alias("part")), allowMissingColumns=True)
+    return rows.repartition("doc_id").sortWithinPartitions("shard", "doc_id").mapInArrow(matching.matcher(wanted, k, SCORE_DIGITS), matching.MATCH)
 
 
 def top(scores: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -148,7 +152,7 @@ def top(scores: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 def batch_search(docs: DataFrame | Index, queries: DataFrame, k: int = 10, params: Params = Params(), ranks: DataFrame | None = None) -> DataFrame:
     made = of(docs, ranks)
-    return top(scored(made, queries, params), made.stored, k)
+    return top(best(made, queries, k, params), made.stored, k)
 
 
 def search(docs: DataFrame | Index, text: str, k: int = 10, params: Params = Params(), ranks: DataFrame | None = None) -> DataFrame:
@@ -166,7 +170,7 @@ def sharded_search(docs: DataFrame | Index, queries: DataFrame, shards: int, k:
     """
     made = of(docs, ranks)
     cut = Window.partitionBy("qid", "shard").orderBy(F.desc("score"), F.asc("doc_id"))
-    kept = scored(made, queries, params, shards=shards, local=local).withColumn("_n", F.row_number().over(cut)).where(F.col("_n") <= k).drop("_n", "shard")
+    kept = best(made, queries, k, params, shards=shards, local=local).withColumn("_n", F.row_number().over(cut)).where(F.col("_n") <= k).drop("_n", "shard")
     named = kept.join(made.stored.select("doc_id", "uri"), "doc_id").withColumn("score", F.round("score", 6))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("uri"), F.asc("doc_id"))
     return named.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "doc_id", "uri", "score")
