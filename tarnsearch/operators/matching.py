@@ -1,7 +1,6 @@
 """Scores of all queries on blocks of documents, inside a Python worker (Q2-Q5, K1).
 
-Matches are never rows of a table: a block's scores are a matrix of documents and queries, of which only the
-best of every query are kept.
+Matches are never rows of a table: a query's scores on a block are an array, of which only the best are kept.
 """
 
 from __future__ import annotations
@@ -16,65 +15,45 @@ import pyarrow.compute as pc
 MATCH = "qid string, shard int, doc_id long, score double"
 #: The term of the row that holds a document's authority.
 AUTHORITY = -1
-#: Postings of a block, and scores that are held at once; they bound a worker's memory.
-_ROWS, _CELLS = 1 << 19, 1 << 22
+#: Postings of a block; they bound a worker's memory.
+_ROWS = 1 << 19
 #: Locations are document, field and position in one number.
 _FIELD, _DOC = 1 << 32, 1 << 39
 
 
-def _lists(pairs, n: int):
-    """(starts, values) of ``n`` lists from pairs (list, value)."""
-    pairs = np.array(pairs, np.int64).reshape(-1, 2)
-    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-    return np.searchsorted(pairs[:, 0], np.arange(n + 1)), pairs[:, 1]
-
-
-def _expanded(lists, of):
-    """For every entry of ``of``, all values of its list: the entries' places and the values."""
-    starts, values = lists
-    sizes = starts[of + 1] - starts[of]
-    ends = np.cumsum(sizes)
-    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[of] - (ends - sizes), sizes)
-    return np.repeat(np.arange(len(of)), sizes), values[at]
-
-
 @dataclass(frozen=True)
 class Wanted:
-    """Queries by number: lists of the queries that name, exclude or need in a phrase each term."""
+    """Queries as numbers of terms and phrases."""
 
     qids: list
     ids: dict[str, int]
-    named: tuple
-    excluded: tuple
     phrases: list[tuple[int, ...]]
     phrase_words: frozenset[int]
-    #: Numbers of the queries with phrases, and of how many each; a phrase's places in these.
-    phrased: list[int]
-    needs: list[int]
-    needing: tuple
+    #: Of each query: the terms it names, those it excludes, the phrases it needs (None: it has none).
+    each: list[tuple[list[int], list[int], list[int] | None]]
 
     @staticmethod
     def of(rows) -> Wanted:
-        """From rows (qid, terms, excluded, phrases); a query whose phrases are all empty matches nothing."""
+        """From rows (qid, terms, excluded, phrases); queries that can't match anything are left out."""
         ids: dict[str, int] = {}
         number = lambda term: ids.setdefault(term, len(ids))
         phrases: dict[tuple[int, ...], int] = {}
-        named, excluded, phrased, needs, needing = [], [], [], [], []
-        for q, r in enumerate(rows):
-            each = [tuple(p) for p in r["phrases"] or [] if p]
-            named += [(number(t), q) for t in dict.fromkeys([*(r["terms"] or []), *(w for p in each for w in p)]) if t is not None]
-            excluded += [(number(t), q) for t in set(r["excluded"] or []) if t is not None]
-            if r["phrases"]:
-                possible = {tuple(map(number, p)) for p in each if None not in p}
-                needing += [(phrases.setdefault(p, len(phrases)), len(phrased)) for p in possible]
-                phrased.append(q)
-                needs.append(len(possible) + (not each or any(None in p for p in each)))
-        words = frozenset(w for p in phrases for w in p)
-        return Wanted([r["qid"] for r in rows], ids, _lists(named, len(ids)), _lists(excluded, len(ids)), list(phrases), words, phrased, needs, _lists(needing, len(phrases)))
-
-
-def _holding(wanted: Wanted, doc, term, fields):
-    """(document, phrase) wherever a document holds a phrase within one field (Q4, J4); documents ascend."""
+        qids, each = [], []
+        for r in rows:
+            wholes = [p for p in r["phrases"] or [] if p]
+            words = [t for t in dict.fromkeys([*(r["terms"] or []), *(w for p in wholes for w in p)]) if t is not None]
+            excluded = [number(t) for t in set(r["excluded"] or []) if t is not None]
+            named = [number(t) for t in words]
+            if r["phrases"] and (not wholes or any(None in p for p in wholes)) or not named:
+                continue
+            needed = {phrases.setdefault(tuple(map(number, p)), len(phrases)) for p in wholes}
+            qids.append(r["qid"])
+            each.append((named, excluded, sorted(needed) if needed else None))
+        return Wanted(qids, ids, list(phrases), frozenset(w for p in phrases for w in p), each)
+
+
+def _holding(wanted: Wanted, doc, term, fields) -> list:
+    """For each phrase the documents that hold it within one field (Q4, J4), ascending."""
     row, entries = pc.list_parent_indices(fields).to_numpy(), pc.list_flatten(fields)
     number, positions = pc.struct_field(entries, "field").to_numpy(), pc.struct_field(entries, "positions")
     entry, pos = pc.list_parent_indices(positions).to_numpy(), pc.list_flatten(positions).to_numpy()
@@ -83,19 +62,15 @@ def _holding(wanted: Wanted, doc, term, fields):
     order = np.lexsort((where, words))
     where, words = where[order], words[order]
     starts = np.searchsorted(words, np.arange(len(wanted.ids) + 1))
-    docs, held = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for n, phrase in enumerate(wanted.phrases):
+    out = []
+    for phrase in wanted.phrases:
         places = sorted((where[starts[w] : starts[w + 1]] - i for i, w in enumerate(phrase)), key=len)
         at = places[0]
         for other in places[1:]:
             if len(at):
                 at = at[other[np.minimum(np.searchsorted(other, at), len(other) - 1)] == at]
-        found = np.unique(at // _DOC)
-        docs.append(found)
-        held.append(np.full(len(found), n))
-    docs, held = np.concatenate(docs), np.concatenate(held)
-    order = np.argsort(docs, kind="stable")
-    return docs[order], held[order]
+        out.append(np.unique(at // _DOC))
+    return out
 
 
 class _Best:
@@ -103,61 +78,62 @@ class _Best:
 
     def __init__(self, wanted: Wanted, k: int, digits: int):
         self.wanted, self.k, self.digits = wanted, k, digits
-        self.q, self.doc, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        self.least = np.zeros(len(wanted.qids))  # the score that a further document has to exceed
         self.slack = 2 * 10.0**-digits
+        self.kept: dict[int, tuple] = {}  # ids and scores, best first
 
     def add(self, table) -> None:
         """The rows of whole documents of one shard."""
-        docs, doc = np.unique(table["doc_id"].to_numpy(), return_inverse=True)
+        ids, doc = np.unique(table["doc_id"].to_numpy(), return_inverse=True)
         term, part = table["term"].to_numpy(), table["part"].to_numpy()
-        factor = np.ones(len(docs))
+        factor = np.ones(len(ids))
         ranked = term == AUTHORITY
         factor[doc[ranked]] = part[ranked]
-        holds = np.empty(0, np.int64), np.empty(0, np.int64)
+        holds = []
         if self.wanted.phrases:
             placed = np.flatnonzero(table["fields"].is_valid().to_numpy())
             holds = _holding(self.wanted, doc[placed], term[placed], table["fields"].combine_chunks().take(placed))
-        posted = np.flatnonzero(~ranked)
-        posted = posted[np.argsort(doc[posted], kind="stable")]
-        doc, term, part = doc[posted], term[posted].astype(np.int64), part[posted]
-        step = max(1, _CELLS // max(1, len(self.wanted.qids)))
-        for low in range(0, len(docs), step):
-            high = min(low + step, len(docs))
-            a, b = np.searchsorted(doc, (low, high))
-            c, d = np.searchsorted(holds[0], (low, high))
-            self._scored(docs[low:high], factor[low:high], doc[a:b] - low, term[a:b], part[a:b], holds[0][c:d] - low, holds[1][c:d])
-
-    def _scored(self, docs, factor, doc, term, part, held_by, held) -> None:
-        n = len(self.wanted.qids)
-        at, q = _expanded(self.wanted.named, term)
-        scores = np.bincount(doc[at] * n + q, part[at], len(docs) * n)
-        at, q = _expanded(self.wanted.excluded, term)
-        scores[doc[at] * n + q] = 0
-        scores = scores.reshape(len(docs), n)
-        if self.wanted.phrased:
-            m = len(self.wanted.phrased)
-            at, q = _expanded(self.wanted.needing, held)
-            got = np.bincount(held_by[at] * m + q, minlength=len(docs) * m).reshape(len(docs), m)
-            scores[:, self.wanted.phrased] *= got == self.wanted.needs
-        scores *= factor[:, None]
-        over = scores > np.maximum(self.least - self.slack, 0)
-        if len(docs) > self.k and np.count_nonzero(over) > 4 * self.k * n:
-            over &= scores >= np.partition(scores, len(docs) - self.k, axis=0)[len(docs) - self.k] - self.slack
-        d, q = np.nonzero(over)
-        self._keep(q, docs[d], np.round(scores[d, q], self.digits))
-
-    def _keep(self, q, doc, score) -> None:
-        if not len(q):
-            return
-        q, doc, score = np.append(self.q, q), np.append(self.doc, doc), np.append(self.score, score)
-        order = np.lexsort((doc, -score, q))
-        q = q[order]
-        place = np.arange(len(q)) - np.searchsorted(q, q)
-        kept = order[place < self.k]
-        last = order[place == self.k - 1]
-        self.least[q[place == self.k - 1]] = score[last]
-        self.q, self.doc, self.score = q[place < self.k], doc[kept], score[kept]
+        order = np.argsort(term, kind="stable")
+        starts = np.searchsorted(term[order], np.arange(len(self.wanted.ids) + 1)).tolist()
+        doc, part = doc[order], part[order]
+        for q, (named, excluded, phrases) in enumerate(self.wanted.each):
+            parts = [slice(starts[t], starts[t + 1]) for t in named if starts[t] < starts[t + 1]]
+            if not parts or phrases and not all(len(holds[p]) for p in phrases):
+                continue
+            found, scores = self._scores([doc[p] for p in parts], [part[p] for p in parts], len(ids))
+            for t in excluded:
+                gone = doc[starts[t] : starts[t + 1]]
+                scores[gone if found is None else np.isin(found, gone)] = 0
+            for p in phrases or ():
+                also = holds[p] if found is None else np.isin(found, holds[p])
+                found, scores = holds[p] if found is None else found[also], scores[also]
+            self._keep(q, ids if found is None else ids[found], scores * (factor if found is None else factor[found]))
+
+    @staticmethod
+    def _scores(docs, parts, n: int):
+        """Sums by document: of all ``n`` (None), or of those found, where they are few."""
+        docs, parts = (np.concatenate(x) if len(x) > 1 else x[0] for x in (docs, parts))
+        if len(docs) * 16 > n:
+            return None, np.bincount(docs, parts, n)
+        found, at = np.unique(docs, return_inverse=True)
+        return found, np.bincount(at, parts)
+
+    def _keep(self, q: int, ids, scores) -> None:
+        old = self.kept.get(q)
+        full = old is not None and len(old[0]) == self.k
+        least = old[1][-1] if full else 0.0
+        over = np.flatnonzero(scores > max(least - self.slack, 0))
+        if len(over) > 4 * self.k:
+            some = scores[over]
+            over = over[some >= np.partition(some, len(some) - self.k)[len(some) - self.k] - self.slack]
+        score = np.round(scores[over], self.digits)
+        if full:  # an equal score has a higher id
+            over, score = over[score > least], score[score > least]
+        if len(over):
+            doc = ids[over]
+            if old is not None:
+                doc, score = np.append(old[0], doc), np.append(old[1], score)
+            best = np.lexsort((doc, -score))[: self.k]
+            self.kept[q] = doc[best], score[best]
 
 
 def _blocks(batches) -> Iterator:
@@ -189,7 +165,9 @@ def matcher(wanted: Wanted, k: int, digits: int):
         qids = pa.array(wanted.qids, pa.string())
 
         def made(shard, best):
-            return pa.RecordBatch.from_arrays([qids.take(pa.array(best.q)), pa.array([shard] * len(best.q), pa.int32()), pa.array(best.doc), pa.array(best.score)], names=["qid", "shard", "doc_id", "score"])
+            numbers = np.repeat(np.array([*best.kept], np.int64), [len(d) for d, _ in best.kept.values()])
+            docs, scores = (np.concatenate([np.empty(0, t), *(x[n] for x in best.kept.values())]) for n, t in enumerate((np.int64, np.float64)))
+            return pa.RecordBatch.from_arrays([qids.take(pa.array(numbers)), pa.array(np.full(len(docs), shard, np.int32)), pa.array(docs), pa.array(scores)], names=["qid", "shard", "doc_id", "score"])
 
         shard, best = None, None
         for at, table in _blocks(batches) if k > 0 else ():

@@ -22,6 +22,8 @@ from tarnsearch.session import write_shared
 BROADCAST_TERMS = 500_000
 #: Query terms up to which they are literal values that Parquet filters by row group and page.
 LITERAL_TERMS = 1_000
+#: Postings that one task matches with the queries.
+TASK_POSTINGS = 1_000_000
 #: Digits to which scores are rounded before they are ordered, so that equal documents tie.
 SCORE_DIGITS = 9
 
@@ -104,8 +106,8 @@ def _chunks(queries: DataFrame) -> list[DataFrame]:
 def best(docs: DataFrame | Index, queries: DataFrame, k: int, params: Params = Params(), ranks: DataFrame | None = None, shards: int = 1, local: bool = False) -> DataFrame:
     """(qid, shard, doc_id, score): at least the best ``k`` matches of every query and shard, ties by lowest id; ``shard`` is ``doc_id % shards``.
 
-    Matches of queries and documents are far more than postings, so only postings are shuffled: a document's
-    meet in one task, which scores all queries on blocks of documents and keeps the best ``k``.
+    Matches of queries and documents are far more than postings, so only postings are shuffled: those of a
+    document meet in one task, which scores all queries on blocks of documents and keeps the best ``k``.
     With ``local`` a shard scores by its own statistics instead of those of all.
     """
     params.checked()
@@ -129,7 +131,8 @@ def _best(made: Index, queries: DataFrame, k: int, params: Params, shards: int,
     freqs = own.groupBy("term", *keys).agg(F.count("*").alias("df"))
     freqs = freqs.join(F.broadcast(sizes), keys) if local else freqs.crossJoin(F.broadcast(sizes))
     wanted = matching.Wanted.of(queries.select("qid", "terms", "excluded", "phrases").collect())
-    weights = [(r["term"], *[r[c] for c in keys], wanted.ids[r["term"]], wanted.ids[r["term"]] in wanted.phrase_words, r["average"], r["idf"]) for r in freqs.select("term", *keys, "average", idf(F.col("n"), F.col("df")).alias("idf")).collect()]
+    found = freqs.select("term", *keys, "average", "df", idf(F.col("n"), F.col("df")).alias("idf")).collect()
+    weights = [(r["term"], *[r[c] for c in keys], wanted.ids[r["term"]], wanted.ids[r["term"]] in wanted.phrase_words, r["average"], r["idf"]) for r in found]
     kinds = ["term string", *[f"{c} int" for c in keys], "id int", "placed boolean", "average double", "idf double"]
     named = _side(made.postings.sparkSession.createDataFrame(weights, ", ".join(kinds)), len(weights))
     part = F.col("idf") * saturation(params, F.col("wtf"), length_norm(params, F.col("length"), F.col("average")))
@@ -138,7 +141,10 @@ def _best(made: Index, queries: DataFrame, k: int, params: Params, shards: int,
         ranked = made.ranks.where("doc_id is not null and rank > 0").select("doc_id", shard, "rank")
         ranked = ranked.join(F.broadcast(sizes), keys) if local else ranked.crossJoin(F.broadcast(sizes))
         rows = rows.unionByName(ranked.select("doc_id", "shard", F.lit(matching.AUTHORITY).alias("term"), authority(params, F.col("rank"), F.col("n")).alias("part")), allowMissingColumns=True)
-    return rows.repartition("doc_id").sortWithinPartitions("shard", "doc_id").mapInArrow(matching.matcher(wanted, k, SCORE_DIGITS), matching.MATCH)
+    # tasks by shard, since each of them returns the best of every query and shard it has
+    tasks = -(-max(own.sparkSession.sparkContext.defaultParallelism, sum(r["df"] for r in found) // TASK_POSTINGS) // shards)
+    task = F.col("shard") * tasks + F.pmod(F.xxhash64("doc_id"), F.lit(tasks)).cast("int")
+    return rows.repartitionById(shards * tasks, task).sortWithinPartitions("shard", "doc_id").mapInArrow(matching.matcher(wanted, k, SCORE_DIGITS), matching.MATCH)
 
 
 def top(scores: DataFrame, docs: DataFrame, k: int) -> DataFrame:

@@ -63,11 +63,10 @@ POSTED = {
 }
 
 
-@pytest.mark.parametrize("rows, cells", [(1, 1), (3, 14), (1 << 19, 1 << 22)])
+@pytest.mark.parametrize("rows", [1, 3, 1 << 19])
 @pytest.mark.parametrize("k", [0, 1, 2, 10])
-def test_blocks_of_any_size_give_the_same(monkeypatch, rows, cells, k):
+def test_blocks_of_any_size_give_the_same(monkeypatch, rows, k):
     monkeypatch.setattr(matching, "_ROWS", rows)
-    monkeypatch.setattr(matching, "_CELLS", cells)
     wanted = matching.Wanted.of(QUERIES)
     flat = []
     for doc, terms in POSTED.items():
@@ -79,3 +78,13 @@ def test_blocks_of_any_size_give_the_same(monkeypatch, rows, cells, k):
     got = [r for b in matching.matcher(wanted, k, 9)(iter(batches)) for r in b.to_pylist()]
     want = {"a": [8, 10, 2, 4, 6], "b": [10, 2, 4], "c": [10, 4], "g": [4]}
     assert {q: [r["doc_id"] for r in sorted((r for r in got if r["qid"] == q), key=lambda r: (-r["score"], r["doc_id"]))] for q in {r["qid"] for r in got}} == ({q: d[:k] for q, d in want.items()} if k else {})
+
+
+def test_shards_meet_the_queries_in_tasks_of_their_own(spark):
+    made, queries = search.build(corpus(spark, 600)), query_table(spark, {f"q{n}": f"common same w{n}" for n in range(200)})
+    got = []
+    rows = shuffled(spark, lambda: got.extend(search.sharded_search(made, queries, 4, 2).select("qid", "score").collect()))
+    assert rows < 600 * 200 / 4
+    assert sorted(got) == sorted(search.batch_search(made, queries, 2).select("qid", "score").collect())
+    parts = search.best(made, queries, 2, shards=4)
+    assert parts.count() == 200 * 4 * 2  # nothing is left to cut where a shard is one task
