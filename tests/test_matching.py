@@ -88,3 +88,14 @@ def test_shards_meet_the_queries_in_tasks_of_their_own(spark):
     assert sorted(got) == sorted(search.batch_search(made, queries, 2).select("qid", "score").collect())
     parts = search.best(made, queries, 2, shards=4)
     assert parts.count() == 200 * 4 * 2  # nothing is left to cut where a shard is one task
+
+
+def test_a_shard_by_its_own_statistics_answers_like_an_index_of_its_own(spark):
+    docs, queries = corpus(spark, 600), query_table(spark, {f"q{n}": f"common filler w{n}" for n in range(200)})
+    ranks = spark.range(0, 600, 7).select(F.col("id").alias("doc_id"), (F.col("id") / 6000).alias("rank"))
+    made, got = search.build(docs, ranks), []
+    rows = shuffled(spark, lambda: got.extend(search.sharded_search(made, queries, 3, 2, local=True).select("qid", "score").collect()))
+    assert rows < 600 * 200 / 4
+    alone = [search.batch_search(docs.where(F.col("doc_id") % 3 == s), queries, 2, ranks=ranks.where(F.col("doc_id") % 3 == s)) for s in range(3)]
+    best = sorted((r["qid"], -r["score"]) for a in alone for r in a.collect())
+    assert sorted((r["qid"], -r["score"]) for r in got) == [r for n, r in enumerate(best) if n % 6 < 2]
