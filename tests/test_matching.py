@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tarnsearch import queries
 from tarnsearch.operators import matching, search
 from tarnsearch.operators.query import query_table
 
@@ -99,3 +100,16 @@ def test_a_shard_by_its_own_statistics_answers_like_an_index_of_its_own(spark):
     alone = [search.batch_search(docs.where(F.col("doc_id") % 3 == s), queries, 2, ranks=ranks.where(F.col("doc_id") % 3 == s)) for s in range(3)]
     best = sorted((r["qid"], -r["score"]) for a in alone for r in a.collect())
     assert sorted((r["qid"], -r["score"]) for r in got) == [r for n, r in enumerate(best) if n % 6 < 2]
+
+
+def tables(spark, tmp_path, n=600, topics=200):
+    corpus(spark, n).write.parquet(f"{tmp_path}/crawled_document.parquet")
+    spark.range(n).select(F.col("id").alias("doc_id"), F.lit(0.0).alias("rank")).write.parquet(f"{tmp_path}/stored_doc.parquet")
+    query_table(spark, {f"q{i}": f"common same w{i}" for i in range(topics)}).write.parquet(f"{tmp_path}/search_query.parquet")
+    return str(tmp_path)
+
+
+def test_extracts_shuffle_results_and_documents_only(spark, tmp_path):
+    d, got = tables(spark, tmp_path), []
+    rows = shuffled(spark, lambda: got.extend(queries.snippet_topk(spark, d).collect()))
+    assert len(got) == 200 * 3 and all(r["highlights"] == 1 and "same" in r["extract"] for r in got) and rows < 600 * 200 / 4
