@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tarnsearch import queries
 from tarnsearch.operators import matching, search
 from tarnsearch.operators.query import query_table
+from tarnsearch.sources import segments
 
 DOCS = "doc_id long, uri string, title string, body string, anchors array<string>"
 
@@ -113,3 +114,14 @@ def test_extracts_shuffle_results_and_documents_only(spark, tmp_path):
     d, got = tables(spark, tmp_path), []
     rows = shuffled(spark, lambda: got.extend(queries.snippet_topk(spark, d).collect()))
     assert len(got) == 200 * 3 and all(r["highlights"] == 1 and "same" in r["extract"] for r in got) and rows < 600 * 200 / 4
+
+
+def test_segments_are_written_merged_and_searched_without_a_shuffle_of_postings_or_matches(spark, tmp_path):
+    d, got = tables(spark, tmp_path / "in"), []
+    rows = shuffled(spark, lambda: got.extend(queries.segment_search(spark, d).collect()))
+    # the postings of the queries' terms and each task's best of every query
+    assert len(got) == 200 * 10 and rows < 600 * 200 / 4
+    docs, store = corpus(spark, 600), segments.Store(spark, f"file:{tmp_path}/store")
+    store.initialise()
+    assert shuffled(spark, lambda: [store.append(docs.where(F.col("doc_id") % 2 == s)) for s in range(2)] + [store.compact(per_tier=2), store.verify()]) < 100
+    assert [e.documents for e in store.manifest().entries] == [600]
